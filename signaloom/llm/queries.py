@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, ngram_join
 from .common import table
 
 
@@ -14,8 +14,12 @@ def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_jaccard_join(spark, sf_dir):
+    return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"), k=3, threshold="90/100")
+
+
 def queries():
-    return {f.__name__: f for f in (op4_weighted_fair_mix, op8_exact_dedup)}
+    return {f.__name__: f for f in (op4_weighted_fair_mix, op8_exact_dedup, op10_ngram_jaccard_join)}
 
 
 def oracle_sql():
