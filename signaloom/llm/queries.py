@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, ngram_join
+from . import exact_dedup, mixing, near_embed, ngram_join, sharding, warc
 from .common import table
 
 
@@ -10,17 +10,32 @@ def op4_weighted_fair_mix(spark, sf_dir):
     return mixing.weighted_fair_mix(table(spark, sf_dir, "documents"))
 
 
+def op5_hypergeometric_shards(spark, sf_dir):
+    return sharding.shard_digest(table(spark, sf_dir, "documents"))
+
+
+def op7_cross_polytope_near_dedup(spark, sf_dir):
+    return near_embed.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_warc_round_trip(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"), k=3, threshold="90/100")
 
 
+QUERIES = (op4_weighted_fair_mix, op5_hypergeometric_shards, op7_cross_polytope_near_dedup, op8_exact_dedup, op9_warc_round_trip, op10_ngram_jaccard_join)
+
+
 def queries():
-    return {f.__name__: f for f in (op4_weighted_fair_mix, op8_exact_dedup, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql():
-    return {"op4_weighted_fair_mix": mixing.ORACLE_SQL, "op8_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op4_weighted_fair_mix": mixing.ORACLE_SQL, "op8_exact_dedup": exact_dedup.ORACLE_SQL, "op9_warc_round_trip": warc.ORACLE_SQL}
