@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, near_embed, ngram_join, sharding, warc
+from . import exact_dedup, mixing, near_embed, ngram_join, packing, sharding, warc
 from .common import table
 
 
+def op3_bm25_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op4_weighted_fair_mix(spark, sf_dir):
     return mixing.weighted_fair_mix(table(spark, sf_dir, "documents"))
 
@@ -30,7 +34,7 @@ def op10_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"), k=3, threshold="90/100")
 
 
-QUERIES = (op4_weighted_fair_mix, op5_hypergeometric_shards, op7_cross_polytope_near_dedup, op8_exact_dedup, op9_warc_round_trip, op10_ngram_jaccard_join)
+QUERIES = (op3_bm25_packing, op4_weighted_fair_mix, op5_hypergeometric_shards, op7_cross_polytope_near_dedup, op8_exact_dedup, op9_warc_round_trip, op10_ngram_jaccard_join)
 
 
 def queries():
