@@ -12,9 +12,15 @@ def register(name, function, sql=None):
         _SQL[name] = sql
 
 
+def _load():
+    from . import fitting_queries, signal_queries, space_queries  # noqa: F401  they register themselves
+
+
 def queries():
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql():
+    _load()
     return dict(_SQL)
