@@ -187,7 +187,7 @@ def compactness(found: DataFrame, offsets=CROSS) -> DataFrame:
 def tissue_levels(histogram: list[tuple[float, int]], classes: int = 3, rounds: int = 100) -> list[float]:
     """Cut points between grey-level classes: one-dimensional k-means on a histogram (a row per bin)."""
     x, n = np.array([h[0] for h in histogram], float), np.array([h[1] for h in histogram], float)
-    centre = np.interp((np.arange(classes) + 0.5) / classes, np.cumsum(n) / n.sum(), x)
+    centre = x.min() + (np.arange(classes) + 0.5) / classes * (x.max() - x.min())
     for _ in range(rounds):
         lab = np.abs(x[:, None] - centre[None, :]).argmin(1)
         new = np.array([np.average(x[lab == k], weights=n[lab == k]) if (lab == k).any() else centre[k] for k in range(classes)])
