@@ -37,7 +37,7 @@ def _dft(s, d, **k):
 
 r3 = lambda c: F.round(c, 3)
 register("freq_dft_power", lambda s, d: _dft(s, d).select("rec", "win", "f", F.round(F.col("power") / PI, 3).alias("power")), f"with {_DFT} select rec, win, f::int f, round(power / pi(), 3) power from po")
-register("freq_complex", lambda s, d: _dft(s, d, rescale="parseval").select("rec", "win", "f", F.round("re", 7).alias("re"), F.round("im", 7).alias("im")).filter("f between 1 and 3"), f"with {_DFT} select rec, win, f::int f, round(re / 4, 7) re, round(im / 4, 7) im from po where f between 1 and 3")
+register("freq_range_complex", lambda s, d: _dft(s, d, rescale="parseval").select("rec", "win", "f", F.round("re", 7).alias("re"), F.round("im", 7).alias("im")).filter("f between 1 and 3"), f"with {_DFT} select rec, win, f::int f, round(re / 4, 7) re, round(im / 4, 7) im from po where f between 1 and 3")
 register(
     "freq_hanning",
     lambda s, d: FR.dft(_win(s, d).withColumn("x", FR.hanning("x", N)), N, [1, 2, 5], by=BY).select("rec", "win", "f", r3("power").alias("power")),
@@ -185,8 +185,8 @@ register(
 )
 register(
     "seg_dual_templates",
-    lambda s, d: _labels(s, d).join(V.maps_long(s, d).filter("e < 8").select("tf", "e", "x"), "tf").groupBy("seg", "e").agg(r6(F.avg("x")).alias("x")),
-    P + "select seg, m.e, round(avg(m.x), 6) x from lab join maps_long m using (tf) where m.e < 8 group by 1, 2",
+    lambda s, d: _labels(s, d).join(V.maps_long(s, d).select("tf", "e", "x"), "tf").groupBy("seg", "e").agg(r6(F.avg("x")).alias("x")),
+    P + "select seg, m.e, round(avg(m.x), 6) x from lab join maps_long m using (tf) group by 1, 2",
 )
 register(
     "seg_synthetic",
@@ -218,7 +218,7 @@ def _davies_bouldin(s, d):
 register("seg_template_correlation", lambda s, d: _template_pairs(s, d).select("k", "k2", r6("c").alias("c")), f"with {V.TEMPLATES} select a.k, b.k k2, round(sum(a.x * b.x) / sqrt(sum(a.x * a.x) * sum(b.x * b.x)), 6) c from tpl a join tpl b on a.e = b.e and a.k <> b.k group by 1, 2")
 register("seg_merge_correlated", lambda s, d: MS.merge_correlated(V.templates(s, d), 0.3))
 register("seg_kmeans", lambda s, d: MS.cluster(V.maps(s, d), range(2, 5), 3).withColumn("gev", r6("gev")))
-register("seg_taahc", lambda s, d: MS.cluster_taahc(V.maps(s, d).filter("label < 3"), 2, 4))
+register("seg_taahc", lambda s, d: MS.cluster_taahc(V.maps(s, d), 2, 4))
 register("seg_criteria", lambda s, d: _named(MS.criteria(V.maps(s, d), MS.cluster(V.maps(s, d), range(1, 6), 2))))
 register("seg_metacriterion", lambda s, d: MS.criteria(V.maps(s, d), MS.cluster(V.maps(s, d), range(1, 6), 2)).groupBy("label").agg(F.max_by("k", "meta_criterion").alias("best_k")))
 register("seg_smoothing", lambda s, d: MS.smooth(_labels(s, d), _fits(s, d).withColumn("rec", F.lit(0)), 3, 0.5))
@@ -261,8 +261,8 @@ register("stat_randomization", lambda s, d: ST.randomised(_pairs(s, d), ["part"]
 
 
 def _tanova(s, d):
-    long = V.maps_long(s, d).filter("label < 2").select(F.col("tf").alias("subject"), F.col("label").alias("grp"), "e", "x")
-    return ST.topographic(long, "grp", 0, 1, 100).select(r6("dis").alias("dis"), r6("p").alias("p"))
+    long = V.maps_long(s, d).select(F.col("tf").alias("subject"), F.when(F.col("label") < 5, 0).otherwise(1).alias("grp"), "e", "x")
+    return ST.topographic(long, "grp", 0, 1, 50).select(r6("dis").alias("dis"), r6("p").alias("p"))
 
 
 register("stat_tanova", _tanova)

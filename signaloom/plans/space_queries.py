@@ -82,8 +82,8 @@ def _places(s):
 
 register(
     "ris_to_volume",
-    lambda s, d: SS.to_volume(SS.norm(_ris(s, d)).filter("tf < 20"), _places(s)).select("tf", "x", "y", "z", r6("v").alias("v")),
-    f"with {_RIS}, sp as (select i::int sp, (i % 3)::double x, (i // 3 % 2)::double y, (i // 6)::double z from (select unnest(range({SP})) i)), vx as (select x::int x, y::int y, z::int z from (select unnest(range(4)) x), (select unnest(range(4)) y), (select unnest(range(4)) z)), pl as (select * from (select vx.*, sp.sp, sqrt((vx.x - sp.x) ** 2 + (vx.y - sp.y) ** 2 + (vx.z - sp.z) ** 2) d, row_number() over (partition by vx.x, vx.y, vx.z order by round(sqrt((vx.x - sp.x) ** 2 + (vx.y - sp.y) ** 2 + (vx.z - sp.z) ** 2), 9), sp.sp) n from vx, sp) where n <= 3) select tf, x, y, z, round(sum(v / power(d + 1e-6, 2)) / sum(1 / power(d + 1e-6, 2)), 6) v from nrm join pl using (sp) where tf < 20 group by 1, 2, 3, 4",
+    lambda s, d: SS.to_volume(SS.norm(_ris(s, d)), _places(s)).select("tf", "x", "y", "z", r6("v").alias("v")),
+    f"with {_RIS}, sp as (select i::int sp, (i % 3)::double x, (i // 3 % 2)::double y, (i // 6)::double z from (select unnest(range({SP})) i)), vx as (select x::int x, y::int y, z::int z from (select unnest(range(4)) x), (select unnest(range(4)) y), (select unnest(range(4)) z)), pl as (select * from (select vx.*, sp.sp, sqrt((vx.x - sp.x) ** 2 + (vx.y - sp.y) ** 2 + (vx.z - sp.z) ** 2) d, row_number() over (partition by vx.x, vx.y, vx.z order by round(sqrt((vx.x - sp.x) ** 2 + (vx.y - sp.y) ** 2 + (vx.z - sp.z) ** 2), 9), sp.sp) n from vx, sp) where n <= 3) select tf, x, y, z, round(sum(v / power(d + 1e-6, 2)) / sum(1 / power(d + 1e-6, 2)), 6) v from nrm join pl using (sp) group by 1, 2, 3, 4",
 )
 
 
@@ -111,12 +111,12 @@ def _regularised(s, d):
     e, p = _head()
     lead = SS.lead_field(e, p[:4])
     field = s.createDataFrame([(a // 3, a % 3, k, float(lead[k, a])) for k in range(64) for a in range(12)], "sp int, axis int, e int, l double")
-    maps = V.maps_long(s, d).filter("tf < 40").select("tf", "e", "x")
+    maps = V.maps_long(s, d).select("tf", "e", "x")
     return SS.best_level(maps, SS.as_table(s, SS.inverse_matrices(lead, "mn")), field)
 
 
 register("ris_best_regularization", _regularised)
-register("pca_covariance", lambda s, d: V.maps_long(s, d).filter("e < 6").select("tf", "e", "x").join(V.maps_long(s, d).filter("e < 6").select("tf", F.col("e").alias("f"), F.col("x").alias("y")), "tf").groupBy("e", "f").agg(r6(F.covar_samp("x", "y")).alias("c")), f"with {V.LONG} select a.e, b.e f, round(covar_samp(a.x, b.x), 6) c from maps_long a join maps_long b using (tf) where a.e < 6 and b.e < 6 group by 1, 2")
+register("pca_covariance", lambda s, d: V.maps_long(s, d).select("tf", "e", "x").join(V.maps_long(s, d).select("tf", F.col("e").alias("f"), F.col("x").alias("y")), "tf").groupBy("e", "f").agg((r6(F.covar_samp("x", "y")) + 0.0).alias("c")), f"with {V.LONG} select a.e, b.e f, round(covar_samp(a.x, b.x), 6) + 0.0::double c from maps_long a join maps_long b using (tf) group by 1, 2")
 
 
 def _pca(s, d):
@@ -207,8 +207,8 @@ register("vol_tissues_merge", lambda s, d: VO.tissues([_B(s, d), VO.binarise(X(s
 register("vol_bias_field", lambda s, d: VO.bias_field(X(s, d).withColumn("v", F.abs("v"))).select("x", "y", "z", r6("v").alias("v")), VQ + "select x::int x, y::int y, z, round(abs(v) / avg(abs(v)) over (partition by z, x // 4, y // 4), 6) v from vox")
 register("vol_resample", lambda s, d: _vox(VO.resample(X(s, d), 2)), VQ + "select (x // 2)::int x, (y // 2)::int y, z, round(avg(v), 6) v from vox group by 1, 2, 3")
 register("vol_isosurface", lambda s, d: VO.isosurface_area(X(s, d), 0.0).select("z", F.col("faces").cast("long").alias("faces")), _BIN + "select a.z, count(*) faces from vx a join vx b on a.z = b.z and a.v <> b.v and ((b.x = a.x + 1 and b.y = a.y) or (b.y = a.y + 1 and b.x = a.x)) group by 1")
-register("vol_biggest_region", lambda s, d: VO.biggest(VO.regions(_B(s, d).filter("z < 100"))))
-register("vol_compact_region", lambda s, d: VO.compactness(VO.regions(_B(s, d).filter("z < 50"))).select("region", "n", r6("inside").alias("inside")))
+register("vol_biggest_region", lambda s, d: VO.biggest(VO.regions(_B(s, d))))
+register("vol_compact_region", lambda s, d: VO.compactness(VO.regions(_B(s, d))).select("region", "n", r6("inside").alias("inside")))
 register("vol_thinning", lambda s, d: VO.thin(_B(s, d)))
 
 
@@ -221,7 +221,7 @@ register("vol_tissues_kmeans", _tissues)
 
 
 def _coregistered(s, d):
-    a = VO.template_brain(X(s, d), ("x", "y", "z")).filter("z < 30")
+    a = X(s, d)
     return s.createDataFrame([VO.coregister(a, a.withColumn("x", F.col("x") + 1))], "dx int, dy int")
 
 
@@ -249,16 +249,17 @@ register("geo_swap", lambda s, d: G.swap(_points(s, d), "x", "z").select("set_id
 register("geo_bounding_box", lambda s, d: G.bounding_box(_points(s, d)).select("set_id", *[r6(f"{c}_{n}").alias(f"{c}_{n}") for c in "xyz" for n in ("min", "max")]), f"with {_PTS} select set_id, " + ", ".join(f"round({n}({c}), 6) {c}_{n}" for c in "xyz" for n in ("min", "max")) + " from pts group by 1")
 register("geo_distances", lambda s, d: G.spread(_points(s, d)).select("set_id", "idx", r6("distance").alias("distance")), f"with {_PTS}, m as (select idx, avg(x) x, avg(y) y, avg(z) z from pts group by 1) select set_id, p.idx, round(sqrt((p.x - m.x) ** 2 + (p.y - m.y) ** 2 + (p.z - m.z) ** 2), 6) distance from pts p join m on p.idx = m.idx")
 register("geo_variation", lambda s, d: G.variation(_points(s, d)).select("set_id", r6("average").alias("average"), r6("cov").alias("cov"), "unfit"), f"with {_PTS}, m as (select idx, avg(x) x, avg(y) y, avg(z) z from pts group by 1), q as (select set_id, sqrt((p.x - m.x) ** 2 + (p.y - m.y) ** 2 + (p.z - m.z) ** 2) d from pts p join m on p.idx = m.idx) select set_id, round(avg(d), 6) average, round(100 * stddev_samp(d) / avg(d), 6) cov, 100 * stddev_samp(d) / avg(d) > 52 unfit from q group by 1")
-register("geo_pair_distances", lambda s, d: G.pair_distances(_points(s, d, 15)).select("set_id", "a", "b", r6("d").alias("d")), f"with {_PTS} select p.set_id, p.idx a, q.idx b, round(sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2), 6) d from pts p join pts q on p.set_id = q.set_id and p.idx < q.idx and q.idx < 5")
+register("geo_pair_distances", lambda s, d: G.pair_distances(_points(s, d)).select("set_id", "a", "b", r6("d").alias("d")), f"with {_PTS} select p.set_id, p.idx a, q.idx b, round(sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2), 6) d from pts p join pts q on p.set_id = q.set_id and p.idx < q.idx")
 
 
 def _near(s, d):
-    p = _points(s, d).filter("set_id < 20").select((F.col("set_id") * 100 + F.col("idx")).alias("idx"), "x", "y", "z")
-    t = _points(s, d).filter("set_id between 20 and 29").select((F.col("set_id") * 100 + F.col("idx")).alias("idx"), "x", "y", "z")
+    """Every point glued to the nearest two of the mean points, within 0.15."""
+    p = _points(s, d).select((F.col("set_id") * 100 + F.col("idx")).alias("idx"), "x", "y", "z")
+    t = _points(s, d).groupBy("idx").agg(*[F.avg(c).alias(c) for c in "xyz"])
     return G.nearest(p, t, 2, 0.15).select("idx", "near", r6("d").alias("d"))
 
 
-register("geo_nearest", _near, f"with {_PTS}, j as (select p.set_id * 100 + p.idx idx, t.set_id * 100 + t.idx near, sqrt((p.x - t.x) ** 2 + (p.y - t.y) ** 2 + (p.z - t.z) ** 2) d from pts p, pts t where p.set_id < 20 and t.set_id between 20 and 29) select idx, near, round(d, 6) d from (select *, row_number() over (partition by idx order by round(d, 9), near) n from j where d <= 0.15) where n <= 2")
+register("geo_nearest", _near, f"with {_PTS}, t as (select idx, avg(x) x, avg(y) y, avg(z) z from pts group by 1), j as (select p.set_id * 100 + p.idx idx, t.idx near, sqrt((p.x - t.x) ** 2 + (p.y - t.y) ** 2 + (p.z - t.z) ** 2) d from pts p, t) select idx, near, round(d, 6) d from (select *, row_number() over (partition by idx order by round(d, 9), near) n from j where d <= 0.15) where n <= 2")
 register("geo_template_electrodes", lambda s, d: G.template(_points(s, d)).select("idx", *[r6(c).alias(c) for c in "xyz"]))
 register("geo_downsample", lambda s, d: G.thin_out(_points(s, d), 6).select("set_id", "idx"))
 _LAND = G.from_landmarks((2, 0, 0), (0, 2, 0), (0, 0, 2), (0, -2, 0), (-2, 0, 0))
@@ -273,8 +274,8 @@ register("solution_points_grid", lambda s, d: X(s, d).filter("v > 0 and x % 2 =
 # --- synthetic data -----------------------------------------------------------------------------------------------------------------------------------------------------------
 register(
     "synth_oscillating",
-    lambda s, d: s.range(2000).select(F.col("id").alias("tf"), *[r6(F.sin(2 * math.pi * f * F.col("id") / 256) * a).alias(n) for n, f, a in (("alpha", 10.0, 3.0), ("theta", 6.0, 1.5))]),
-    "select i tf, round(sin(2 * pi() * 10 * i / 256) * 3, 6) alpha, round(sin(2 * pi() * 6 * i / 256) * 1.5, 6) theta from (select unnest(range(2000)) i)",
+    lambda s, d: s.range(2000).select(F.col("id").alias("tf"), *[(r6(F.sin(2 * math.pi * f * F.col("id") / 256) * a) + 0.0).alias(n) for n, f, a in (("alpha", 10.0, 3.0), ("theta", 6.0, 1.5))]),
+    "select i tf, round(sin(2 * pi() * 10 * i / 256) * 3, 6) + 0.0::double alpha, round(sin(2 * pi() * 6 * i / 256) * 1.5, 6) + 0.0::double theta from (select unnest(range(2000)) i)",
 )
 register("synth_noise", lambda s, d: s.range(0, 2000, 1, 4).select(F.col("id").alias("tf"), F.randn(7).alias("value")))
 register("synth_segments", lambda s, d: s.range(0, 640).select(F.col("id").alias("tf"), (F.floor(F.col("id") / 64) % 4).cast("int").alias("k")).join(V.templates(s, d), "k").select("tf", "k", r6(M.gfp(F.col("t"))).alias("gfp")), f"with {V.TEMPLATES}, g as (select k, stddev_pop(x) g from tpl group by 1) select i tf, g.k, round(g, 6) gfp from (select unnest(range(640)) i) join g on g.k = i // 64 % 4")
