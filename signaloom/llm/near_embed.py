@@ -1,8 +1,8 @@
 """Near-duplicate vectors by cross-polytope hashing after fast Hadamard rotations, with multiprobe buckets and verified pairs.
 
-Vectors are compared only when their labels are equal and not null; equal vectors of a label form a class, of which one row is hashed. A table hashes a vector by two pseudo-random
-rotations (three rounds of signs and a Hadamard transform each); the vertices of the cross-polytope nearest to the two rotated vectors name its home bucket, and the next-nearest
-combinations the buckets that it visits as well. A pair meets where one is at home and the other at home or on a visit. Of pairs at cosine 0.93 exactly, TABLES and PROBES find over 0.999.
+Vectors are compared only when their labels are equal and not null; equal vectors of a label form a class, of which one row is hashed. A table hashes a vector by two or more
+pseudo-random rotations (three rounds of signs and a Hadamard transform each); the vertices of the cross-polytope nearest to the rotated vectors name its home bucket, and the next-nearest
+combinations the buckets that it visits as well. A pair meets where one is at home and the other at home or on a visit. SCHEMES has the numbers of rotations, tables and probes by size.
 
 Plan. Membership rows (id, bucket) are slim; bucket sizes come from a partial aggregation, buckets with one member go, and a bucket of over ROWS rows is cut into strips, every pair of
 strips being a task of its own. Vectors join the rows that are left. Each task verifies its pairs in double precision, and counts a pair only in the first
@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from .common import scratch
 from .components import components
 
-TABLES, PROBES, ROWS, PACK = 6, 4, 1_024, 16_384
+ROWS, PACK = 1_024, 16_384
 SMALL = 48
+#: Rows of the largest label up to which so many rotations name a bucket, with so many tables and probes: buckets stay small, and a pair at cosine 0.93 is found with probability over 0.999.
+SCHEMES = ((1 << 21, (2, 6, 4)), (1 << 62, (3, 10, 10)))
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -41,15 +43,15 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def cells(x: np.ndarray, tables: int = TABLES, probes: int = PROBES) -> np.ndarray:
+def cells(x: np.ndarray, scheme: tuple[int, int, int]) -> np.ndarray:
     """rows x tables x probes: the buckets of unit vectors, home first."""
-    n, width = x.shape
+    (n, width), (rotations, tables, probes) = x.shape, scheme
     d = 1 << max(1, (width - 1).bit_length())
     x = np.pad(x, ((0, 0), (0, d - width)))
     out = np.empty((n, tables, probes), np.int64)
     for t in range(tables):
-        near, loss = [], []
-        for r in range(2):
+        code, cost = np.zeros((n, 1), np.int64), np.zeros((n, 1))
+        for r in range(rotations):
             y = x
             for s in range(3):
                 y = hadamard(y * np.random.default_rng([t, r, s, d]).choice([-1.0, 1.0], d))
@@ -57,13 +59,11 @@ def cells(x: np.ndarray, tables: int = TABLES, probes: int = PROBES) -> np.ndarr
             best = np.argpartition(-y, min(3, 2 * d - 1), 1)[:, :4]
             value = np.take_along_axis(y, best, 1)
             order = np.argsort(-value, 1, kind="stable")
-            near.append(np.take_along_axis(best, order, 1))
-            value = np.take_along_axis(value, order, 1)
-            loss.append((value[:, :1] - value) ** 2)
-        both = (near[0][:, :, None] * (2 * d) + near[1][:, None, :]).reshape(n, -1)
-        cost = (loss[0][:, :, None] + loss[1][:, None, :]).reshape(n, -1)
+            best, value = np.take_along_axis(best, order, 1), np.take_along_axis(value, order, 1)
+            code = (code[:, :, None] * (2 * d) + best[:, None, :]).reshape(n, -1)
+            cost = (cost[:, :, None] + ((value[:, :1] - value) ** 2)[:, None, :]).reshape(n, -1)
         first = np.argsort(cost, 1, kind="stable")[:, :probes]
-        out[:, t] = np.take_along_axis(both, first, 1) + t * (2 * d) ** 2
+        out[:, t] = np.take_along_axis(code, first, 1) + t * (2 * d) ** rotations
     return out
 
 
@@ -74,17 +74,19 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def _members(batches):
-    for b in batches:
-        width = np.diff(np.concatenate([[0], np.cumsum([len(v) for v in b.column("embedding")])]))
-        for w in np.unique(width):
-            part = b.filter(pa.array(width == w))
-            found = cells(unit(_matrix(part.column("embedding"))))
-            each = TABLES * PROBES
-            home = np.zeros((len(found), TABLES, PROBES), bool)
-            home[:, :, 0] = True
-            take = np.repeat(np.arange(len(found)), each)
-            yield pa.RecordBatch.from_arrays([part.column("rep").take(pa.array(take)), part.column("grp").take(pa.array(take)), pa.array(found.reshape(-1)), pa.array(home.reshape(-1))], ["rep", "grp", "cell", "home"])
+def _members(scheme):
+    def run(batches):
+        for b in batches:
+            width = np.array([len(v) for v in b.column("embedding")])
+            for w in np.unique(width):
+                part = b.filter(pa.array(width == w))
+                found = cells(unit(_matrix(part.column("embedding"))), scheme)
+                home = np.zeros(found.shape, bool)
+                home[:, :, 0] = True
+                take = pa.array(np.repeat(np.arange(len(found)), found.shape[1] * found.shape[2]))
+                yield pa.RecordBatch.from_arrays([part.column("rep").take(take), part.column("grp").take(take), pa.array(found.reshape(-1)), pa.array(home.reshape(-1))], ["rep", "grp", "cell", "home"])
+
+    return run
 
 
 def _pairs(block: np.ndarray, x: np.ndarray, home: np.ndarray, strip: np.ndarray, cross: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +117,7 @@ def _pairs(block: np.ndarray, x: np.ndarray, home: np.ndarray, strip: np.ndarray
     return (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
 
 
-def _verify(least: float):
+def _verify(least: float, scheme):
     def run(table):
         table = table.sort_by([("grp", "ascending"), ("cell", "ascending"), ("s1", "ascending"), ("s2", "ascending")])
         rep, cell, copies, strip, s1, s2 = (table.column(c).to_numpy() for c in ("rep", "cell", "copies", "strip", "s1", "s2"))
@@ -133,7 +135,7 @@ def _verify(least: float):
             involved = np.unique(np.concatenate([i, j]))
             if not len(involved):
                 continue
-            code = cells(x[involved])
+            code = cells(x[involved], scheme)
             where = np.searchsorted(involved, np.arange(len(at)))
             for lo in range(0, len(i), 50_000):
                 a, b = i[lo : lo + 50_000], j[lo : lo + 50_000]
@@ -180,7 +182,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
     reps = members.filter("rid = rep").select("rep", "grp", "copies")
     reps = scratch(rows.select(F.col("rid").alias("rep"), "embedding").join(reps, "rep"), "vector-reps")
 
-    placed = reps.select("rep", "grp", "embedding").mapInArrow(_members, "rep long, grp string, cell long, home boolean")
+    largest = reps.groupBy("grp").count().agg(F.max("count")).first()[0] or 0
+    scheme = next(numbers for most, numbers in SCHEMES if largest <= most)
+    placed = reps.select("rep", "grp", "embedding").mapInArrow(_members(scheme), "rep long, grp string, cell long, home boolean")
     busy = placed.groupBy("grp", "cell").agg(F.count("*").alias("rows"), F.max("home").alias("lived_in")).filter("rows > 1 and lived_in")
     busy = busy.select("grp", "cell", F.ceil(F.col("rows") / ROWS).cast("int").alias("strips"))
     tasks = placed.join(busy, ["grp", "cell"]).withColumn("strip", F.pmod(F.xxhash64("rep"), F.col("strips")).cast("int"))
@@ -188,7 +192,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
     tasks = scratch(tasks.select("rep", "grp", "cell", "home", "strip", "s1", "s2"), "vector-tasks")
     packs = tasks.count() // PACK + 1
     loaded = tasks.withColumn("pack", F.pmod(F.xxhash64("grp", "cell", "s1", "s2"), F.lit(packs))).join(reps.select("rep", "copies", "embedding"), "rep")
-    links = scratch(loaded.groupBy("pack").applyInArrow(_verify(least), "a long, b long, links long"), "vector-links")
+    links = scratch(loaded.groupBy("pack").applyInArrow(_verify(least, scheme), "a long, b long, links long"), "vector-links")
 
     roots = components(links.select("a", "b")).withColumnRenamed("node", "rep")
     counts = links.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "rep")
