@@ -268,3 +268,31 @@ def merge_correlated(templates: DataFrame, least: float) -> DataFrame:
             break
         root = new
     return templates.sparkSession.createDataFrame([(k, ks[r]) for k, r in zip(ks, root)], f"k {dict(templates.dtypes)['k']}, root {dict(templates.dtypes)['k']}")
+
+
+def eigenvector(maps: DataFrame, group: str = "label") -> DataFrame:
+    """group, v: the first eigenvector of a group's average-referenced maps, without regard to polarity. Cross products are summed by Spark; a matrix of electrodes goes to each task."""
+    long = maps.select(group, "tf", F.posexplode(M.average_reference(F.col("v"))).alias("e", "x"))
+    cross = long.join(long.select(group, "tf", F.col("e").alias("f"), F.col("x").alias("y")), [group, "tf"]).groupBy(group, "e", "f").agg(F.sum(F.col("x") * F.col("y")).alias("c"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = int(pdf.e.max()) + 1
+        m = np.zeros((n, n))
+        m[pdf.e, pdf.f] = pdf.c
+        v = np.linalg.eigh(m)[1][:, -1]
+        return pd.DataFrame({group: [pdf[group].iloc[0]], "v": [v * np.sign(v[np.abs(v).argmax()])]})
+
+    return cross.groupBy(group).applyInPandas(run, f"{group} {dict(maps.dtypes)[group]}, v array<double>")
+
+
+def medoid(maps: DataFrame, group: str = "label") -> DataFrame:
+    """group, tf: the map whose summed absolute correlation with its group is highest; the smaller tf on a tie. A group's maps fit a task."""
+    cols = maps.select(group, "tf", "v")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("tf")
+        u = _unit(np.stack(pdf.v.to_numpy()))
+        total = np.concatenate([np.abs(u[at : at + 512] @ u.T).sum(1) for at in range(0, len(u), 512)])
+        return pd.DataFrame({group: [pdf[group].iloc[0]], "tf": [pdf.tf.iloc[int(np.round(total, 9).argmax())]]})
+
+    return cols.groupBy(group).applyInPandas(run, f"{group} {dict(maps.dtypes)[group]}, tf long")

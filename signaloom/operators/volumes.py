@@ -274,3 +274,10 @@ def thin(df: DataFrame, by: str = "z") -> DataFrame:
 
     cols = df.select(*XYZ, "v")
     return cols.groupBy(by).applyInPandas(run, cols.schema)
+
+
+def strip(df: DataFrame, level: float) -> DataFrame:
+    """Skull stripping in its simplest form: threshold, opening, the biggest region of each slice, dilation, mask."""
+    kept = biggest(regions(opened(binarise(df, level))))
+    grown = dilate(combine(df.withColumn("v", F.lit(0.0)), kept.select(*XYZ, F.lit(1.0).alias("v")), "merge"))
+    return combine(df, grown, "apply")
