@@ -18,7 +18,7 @@ def r6(c):
 
 
 # --- maps -------------------------------------------------------------------------------------------------------------------------------------------------------------------
-v = F.col("v")
+v = "v"
 register("map_gfp", lambda s, d: V.maps(s, d).select("tf", r6(M.gfp(v)).alias("gfp")), f"with {V.LONG} select tf, round(stddev_pop(x), 6) gfp from maps_long group by 1")
 register("map_rms", lambda s, d: V.maps(s, d).select("tf", r6(M.rms(v)).alias("rms")), f"with {V.LONG} select tf, round(sqrt(avg(x * x)), 6) rms from maps_long group by 1")
 register("map_average", lambda s, d: V.maps(s, d).select("tf", r6(M.mean(v)).alias("mean")), f"with {V.LONG} select tf, round(avg(x), 6) mean from maps_long group by 1")
@@ -147,13 +147,13 @@ register(
     Q + "select a.rec, round(corr(a.value, b.value), 6) c from samples a join samples b on a.rec = b.rec and a.tf = b.tf + 1 group by 1",
 )
 _STAT = {
-    "tracks_flat": (F.coalesce(F.stddev_samp("value"), F.lit(0.0)), "coalesce(stddev_samp(value), 0)"),
-    "tracks_outlier": (F.max(F.abs("value")), "max(abs(value))"),
+    "tracks_flat": (lambda: F.coalesce(F.stddev_samp("value"), F.lit(0.0)), "coalesce(stddev_samp(value), 0)"),
+    "tracks_outlier": (lambda: F.max(F.abs("value")), "max(abs(value))"),
 }
 for _name, (_col, _sql) in _STAT.items():
     register(
         _name,
-        lambda s, d, c=_col: T.robust_outliers(S(s, d), c, 2.5).select("rec", "track", r6("s").alias("s"), r6("z").alias("z"), "bad"),
+        lambda s, d, c=_col: T.robust_outliers(S(s, d), c(), 2.5).select("rec", "track", r6("s").alias("s"), r6("z").alias("z"), "bad"),
         Q + f", p as (select rec, track, {_sql} s from samples group by 1, 2), m as (select *, median(s) over (partition by track) md from p), z as (select *, (s - md) / nullif(1.4826 * median(abs(s - md)) over (partition by track), 0) z from m) select rec, track, round(s, 6) s, round(z, 6) z, abs(z) > 2.5 bad from z",
     )
 register(
