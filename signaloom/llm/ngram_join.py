@@ -3,8 +3,8 @@
 Documents with equal shingle sets form a class; only one row per class enters the product. Two classes link when den * |A and B| >= num * |A or B|.
 
 Blocks. Linking sets of up to n shingles differ in at most D = floor(2 n (den - num) / (den + num)) of them. Sizes are dealt into bands so that a pair lies in one
-band or in two neighbours; at each level the shingles are dealt by hash into D + 1 parts and some more, so a linking pair has one non-empty part in common. (A set with
-more empty parts than were added also names its empty ones: no pair is lost.) Every part gives a key. Tasks combine their keys first: rows of a key become a star of edges around the
+band or in two neighbours; at each level the shingles are dealt by hash into D + 1 parts and some more, so a linking pair has one non-empty part in common. Shingles that many texts hold are left
+out of the parts, so texts that merely share a passage do not meet; sets with little else also give the parts of the whole set, and sets with more empty parts than were added also name those: no pair is lost. Every part gives a key. Tasks combine their keys first: rows of a key become a star of edges around the
 smallest row, and one row per key and task is shuffled and sorted, so a key of any size stays cheap. Components of these edges are the blocks of the matrix: no link crosses two of them.
 
 Product. A block of at most LIMIT shingles and ROWS rows is multiplied in one task. A larger one is split by size band, and each band by hash into strips; every pair of strips is a task. Overlaps
@@ -31,6 +31,17 @@ from .shingles import U, mix, shingle_sets
 
 LIMIT, ROWS, COMBINE = 400_000, 1_024, 1_500_000
 LOW_DF = 24
+FREQUENT, OFTEN = 50_000, 1_000
+PART = U(0xD1B54A32D192ED03)
+
+
+def _parts(differ: int, least: float, deviations: int) -> tuple[int, int]:
+    """Parts for sets of at least `least` shingles, and how many of them may be empty: as many as are added to differ + 1."""
+    spare = 0
+    for _ in range(6 if differ else 0):
+        empty = (differ + 1 + spare) * math.exp(-least / (differ + 1 + spare))
+        spare = math.ceil(empty + deviations * math.sqrt(empty))
+    return differ + 1 + spare, spare
 
 
 class Levels:
@@ -43,11 +54,7 @@ class Levels:
         low = self.edges[-1]
         high = max(low + 1, (low - 1) * self.den // self.num + 1)
         differ = 2 * (high - 1) * (self.den - self.num) // (self.den + self.num)
-        spare = 0
-        for _ in range(3):
-            empty = (differ + 1 + spare) * math.exp(-low * self.num / self.den / (differ + 1 + spare))
-            spare = math.ceil(empty + 4 * math.sqrt(empty)) if differ else 0
-        self.parts.append((differ, differ + 1 + spare, spare))
+        self.parts.append((differ, _parts(differ, low * self.num / self.den, 4), _parts(differ, low * self.num / self.den, 2)))
         self.edges.append(high)
 
     def band(self, n: int) -> int:
@@ -55,38 +62,73 @@ class Levels:
             self._grow()
         return int(np.searchsorted(self.edges, n, "right")) - 1
 
-    def of(self, level: int) -> tuple[int, int, int]:
-        """Most differing shingles, parts, empty parts that do no harm."""
+    def of(self, level: int) -> tuple[int, tuple[int, int], tuple[int, int]]:
+        """Most differing shingles; parts, and empty parts that do no harm, for whole sets and for sets without frequent shingles."""
         while len(self.parts) <= level:
             self._grow()
         return self.parts[level]
 
 
-def keys_of(shingles: np.ndarray, levels: Levels) -> np.ndarray:
-    """The keys of a set: those of its band's level and of the next, where its larger partners lie."""
+def _part_keys(shingles: np.ndarray, parts: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """A key for each part that holds shingles, and the numbers of those parts."""
+    part = (mix(shingles, 7) >> U(32)) * U(parts) >> U(32)
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+    total = np.add.reduceat(mix(shingles, 8)[order], first) if len(first) else np.zeros(0, np.uint64)
+    return mix(total + part[first] * PART, salt), part[first]
+
+
+def keys_of(shingles: np.ndarray, levels: Levels, frequent: np.ndarray | None = None) -> np.ndarray:
+    """The keys of a set: those of its band's level and of the next, where its larger partners lie.
+
+    Frequent shingles are left out, as they differ no more than whole sets do: then texts that merely share a passage have no key in common. A set that has too few others left, so that more of its parts are
+    empty than were added, also gives the keys of its whole set; of two such sets that link, these meet.
+    """
     found, own = [], levels.band(len(shingles))
-    spread, value = mix(shingles, 7) >> U(32), mix(shingles, 8)
+    light = shingles
+    if frequent is not None and len(frequent):
+        light = shingles[frequent[np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)] != shingles]
     for level in (own, own + 1):
-        differ, parts, spare = levels.of(level)
+        differ, whole, most = levels.of(level)
         if not differ:
             continue  # linking sets are equal: a class
-        part = (spread * U(parts)) >> U(32)
-        order = np.argsort(part, kind="stable")
-        part = part[order]
-        first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-        found.append(mix(np.add.reduceat(value[order], first) + part[first] * U(0xD1B54A32D192ED03), 9 + level))
-        if parts - len(first) > spare:
-            empty = np.setdiff1d(np.arange(parts, dtype=np.uint64), part[first])
-            found.append(mix(empty * U(0xD1B54A32D192ED03), 1_000_003 + level))
+        keys, held = _part_keys(light, most[0], 5_000_011 + level)
+        found.append(keys)
+        if most[0] - len(held) > most[1]:
+            keys, held = _part_keys(shingles, whole[0], 9 + level)
+            found.append(keys)
+            if whole[0] - len(held) > whole[1]:
+                empty = np.setdiff1d(np.arange(whole[0], dtype=np.uint64), held)
+                found.append(mix(empty * PART, 1_000_003 + level))
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
 def _facts(k: int):
+    """Facts of every row; after each COMBINE shingles or so, rows with rid -1 for the shingles (d1) that many of those texts hold, and how many (n)."""
+
     def run(batches):
+        seen, cells, texts = [], 0, 0
+
+        def often():
+            grams, n = np.unique(np.concatenate(seen), return_counts=True)
+            grams, n = (x[n >= max(4, texts // OFTEN)] for x in (grams, n))
+            none = pa.nulls(len(grams), id_type)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), -1)), none, pa.array(n), pa.array(grams.view(np.int64)), pa.array(n)], names)
+
+        names, id_type = ["rid", "doc_id", "n", "d1", "d2"], None
         for b in batches:
+            id_type = b.schema.field("doc_id").type
             sets = shingle_sets(b.column("text"), k)
             digest = [np.array([mix(s, salt).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for salt in (21, 22)]
-            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, digest)], ["rid", "doc_id", "n", "d1", "d2"])
+            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, digest)], names)
+            seen += sets
+            cells, texts = cells + sum(map(len, sets)), texts + len(sets)
+            if cells >= 2 * COMBINE:
+                yield often()
+                seen, cells, texts = [], 0, 0
+        if cells:
+            yield often()
 
     return run
 
@@ -104,13 +146,13 @@ def _star_rows(keys: np.ndarray, rids: np.ndarray) -> list[pa.RecordBatch]:
     return [pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in (key, a, b)], ["key", "a", "b"]) for i in range(0, len(key), 100_000)]
 
 
-def _signatures(k: int, num: int, den: int):
+def _signatures(k: int, num: int, den: int, frequent: np.ndarray):
     def run(batches):
         levels, keys, rids, held = Levels(num, den), [], [], 0
         for b in batches:
             for rid, s in zip(b.column("rid").to_numpy(), shingle_sets(b.column("text"), k)):
                 if len(s):
-                    keys.append(keys_of(s, levels))
+                    keys.append(keys_of(s, levels, frequent))
                     rids.append(np.full(len(keys[-1]), rid))
                     held += len(keys[-1])
                 if held >= COMBINE:
@@ -222,13 +264,16 @@ def jaccard_groups(docs: DataFrame, k: int, threshold: str, id_col: str = "doc_i
     spark = docs.sparkSession
     texts = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = texts.schema["doc_id"].dataType.simpleString()
-    facts = scratch(texts.mapInArrow(_facts(k), f"rid long, doc_id {id_type}, n long, d1 long, d2 long"), "ngram-facts")
+    made = scratch(texts.mapInArrow(_facts(k), f"rid long, doc_id {id_type}, n long, d1 long, d2 long"), "ngram-facts")
+    facts = made.filter("rid >= 0")
+    often = made.filter("rid < 0").groupBy("d1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "d1").limit(FREQUENT).collect()  # any set of shingles loses no link: the limit only bounds the driver
+    frequent = np.sort(np.array([r["d1"] for r in often], np.int64).view(np.uint64))
     classes = facts.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("rid").alias("rep"), F.count("*").alias("copies"))
     members = scratch(
         facts.join(classes, ["n", "d1", "d2"], "left").select("rid", "doc_id", "n", F.coalesce("rep", "rid").alias("rep"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies")), "ngram-members"
     )
 
-    keyed = texts.select("rid", "text").mapInArrow(_signatures(k, num, den), "key long, a long, b long")
+    keyed = texts.select("rid", "text").mapInArrow(_signatures(k, num, den, frequent), "key long, a long, b long")
     stars = keyed.repartition("key").sortWithinPartitions("key", "a").mapInArrow(_stars, "a long, b long")
     copies = members.filter("rid <> rep").select(F.col("rid").alias("a"), F.col("rep").alias("b"))
     blocks = components(stars.unionByName(copies))

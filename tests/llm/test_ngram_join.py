@@ -110,4 +110,6 @@ def test_levels_lose_no_pair():
                 o = n - int(r.integers(0, n // 8 + 1))
                 b = np.concatenate([a[:o], r.integers(1, 2**63, int(r.integers(0, n // 8 + 1)), dtype=np.uint64)])
                 if den * o >= num * (len(a) + len(b) - o) and len(b) > o:
-                    assert np.isin(ngram_join.keys_of(np.sort(a), levels), ngram_join.keys_of(np.sort(b), levels)).any()
+                    for share in (0, 0.2, 0.6, 1):
+                        often = np.sort(r.choice(np.concatenate([a, b]), int(share * n), replace=False))
+                        assert np.isin(ngram_join.keys_of(np.sort(a), levels, often), ngram_join.keys_of(np.sort(b), levels, often)).any()
