@@ -10,10 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _fields(df: DataFrame) -> DataFrame:
-    return df.select(F.col("_metadata.file_path").alias("rec"), F.posexplode(F.split(F.trim("value"), r"\s+")).alias("track", "text"))
-
-
 def _lines(spark: SparkSession, path) -> DataFrame:
     """rec, line (0-based), value. A file of text is numbered as a whole: formats without time in their rows need the order of lines."""
     whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("rec"), F.regexp_replace("value", r"\r", "").alias("value"))
