@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from .shingles import buffers
 
-ORDERS, BITS, PER_LANGUAGE, LONGEST, CLOSE, CHUNK = (2, 3), 16, 800, 20_000, 0.1, 1 << 20
+ORDERS, BITS, PER_LANGUAGE, LONGEST, CLOSE, CHUNK = (2, 3), 16, 800, 20_000, 0.1, 1 << 18
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = _FOLD[65:91] = np.arange(97, 123)

@@ -17,7 +17,7 @@ _BASE = 0x9E3779B97F4A7C15
 _LOW = np.array([pow(_BASE, i, 1 << 64) for i in range(_STEP)], dtype=np.uint64)
 _HIGH = pow(_BASE, _STEP, 1 << 64)
 _PLACE = _rng.integers(1, 2**63, 64, dtype=np.uint64) * U(2) + U(1)
-REGION = 1 << 20
+REGION = 1 << 19
 
 
 def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -60,7 +60,7 @@ def _words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word (A-Z as a-z) and the number of words up to each offset. Works on regions of about 1 MB, cut where a text begins or after a blank."""
+    """Hash of every word (A-Z as a-z) and the number of words up to each offset. Works on regions of about half a MB, cut where a text begins or after a blank."""
     hashes, starts, at, n = [], [], 0, len(data)
     begins = offsets[:-1][np.diff(offsets) > 0]
     while at < n:

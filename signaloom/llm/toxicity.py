@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .shingles import buffers
 
-ORDERS, BITS, DIM, TOXIC, CLEAN, LONGEST, CHUNK = (3, 4, 5), 17, 8, 2_500, 3_500, 20_000, 1 << 20
+ORDERS, BITS, DIM, TOXIC, CLEAN, LONGEST, CHUNK = (3, 4, 5), 17, 8, 2_500, 3_500, 20_000, 1 << 18
 EPOCHS, RATE, THRESHOLD, FLOOR = 12, 0.5, 0.3, -8.0
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -47,7 +47,7 @@ def features(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for k in range(order):
             h = (h + x[k : k + n] + np.uint32(1)) * np.uint32(0x01000193)
         inner = blanks[order - 2 : order - 2 + n] - blanks[:n]  # blanks strictly inside
-        at = np.flatnonzero((inner == 0) & ~(blank[:n] & blank[order - 1 : order - 1 + n] & (order < 3)))
+        at = np.flatnonzero(inner == 0)
         grams.append(((h[at] * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.int64))
         words.append(word[at + 1])
     return np.concatenate(grams), np.concatenate(words), begins - 1
