@@ -13,7 +13,7 @@ def _downward(edges: DataFrame) -> DataFrame:
 
 
 def _star(edges: DataFrame) -> DataFrame:
-    """Every neighbour of a node is tied to the node's smallest neighbour instead. The join is on slim rows; adaptive execution splits a hub's."""
+    """Every neighbour of a node is tied to the node's smallest neighbour instead. Rows are two numbers; those of a hub meet in one task."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
     return edges.join(least, "a")
 

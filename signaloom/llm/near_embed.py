@@ -178,7 +178,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
     twin = [F.concat_ws(":", F.size(v), "label").alias("grp"), F.xxhash64(v, F.lit(1)).alias("h1"), F.xxhash64(F.lit(2), v).alias("h2")]
     facts = scratch(rows.select("rid", "vec_id", "good", *twin), "vector-facts")
     classes = facts.filter("good").groupBy("grp", "h1", "h2").agg(F.min("rid").alias("rep"), F.count("*").alias("copies"))
-    members = scratch(facts.join(classes.withColumn("good", F.lit(True)), ["good", "grp", "h1", "h2"], "left").select("rid", "vec_id", "grp", "rep", F.coalesce("copies", F.lit(1)).alias("copies")), "vector-members")
+    classes = scratch(classes.filter("copies > 1").withColumn("good", F.lit(True)), "vector-classes")  # a table, so that adaptive execution can split the join's hot partitions
+    members = scratch(facts.join(classes, ["good", "grp", "h1", "h2"], "left").select("rid", "vec_id", "grp", F.when(F.col("good"), F.coalesce("rep", "rid")).alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies")), "vector-members")
     reps = members.filter("rid = rep").select("rep", "grp", "copies")
     reps = scratch(rows.select(F.col("rid").alias("rep"), "embedding").join(reps, "rep"), "vector-reps")
 
@@ -196,9 +197,9 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
 
     roots = components(links.select("a", "b")).withColumnRenamed("node", "rep")
     counts = links.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "rep")
-    joined = members.join(counts.join(roots, "rep", "left"), "rep", "left")
+    joined = members.join(scratch(counts.join(roots, "rep", "left"), "vector-linked"), "rep", "left")
     joined = joined.select("vec_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("root", "rep", "rid").alias("root"))
     joined = scratch(joined, "vector-joined")
     names = joined.groupBy("root").agg(F.min("vec_id").alias("component_id"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
-    out = joined.join(names, "root", "left").withColumn("component_id", F.coalesce("component_id", "vec_id"))
+    out = joined.join(scratch(names, "vector-names"), "root", "left").withColumn("component_id", F.coalesce("component_id", "vec_id"))
     return out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -29,7 +29,7 @@ from .common import scratch
 from .components import components
 from .shingles import U, mix, shingle_sets
 
-LIMIT, ROWS, COMBINE = 400_000, 1_024, 1_500_000
+LIMIT, ROWS, COMBINE = 400_000, 1_024, 1_000_000
 LOW_DF = 24
 FREQUENT, OFTEN = 50_000, 1_000
 PART = U(0xD1B54A32D192ED03)
@@ -268,7 +268,8 @@ def jaccard_groups(docs: DataFrame, k: int, threshold: str, id_col: str = "doc_i
     facts = made.filter("rid >= 0")
     often = made.filter("rid < 0").groupBy("d1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "d1").limit(FREQUENT).collect()  # any set of shingles loses no link: the limit only bounds the driver
     frequent = np.sort(np.array([r["d1"] for r in often], np.int64).view(np.uint64))
-    classes = facts.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("rid").alias("rep"), F.count("*").alias("copies"))
+    # Group tables are written before rows join them: then both sides are plain exchanges, whose hot partitions adaptive execution can split.
+    classes = scratch(facts.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("rid").alias("rep"), F.count("*").alias("copies")).filter("copies > 1"), "ngram-classes")
     members = scratch(
         facts.join(classes, ["n", "d1", "d2"], "left").select("rid", "doc_id", "n", F.coalesce("rep", "rid").alias("rep"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies")), "ngram-members"
     )
@@ -293,7 +294,7 @@ def jaccard_groups(docs: DataFrame, k: int, threshold: str, id_col: str = "doc_i
     roots = components(links.select("a", "b"))
     counts = links.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "rep")
     linked = members.filter("rid = rep").select("rep").join(counts, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left").filter("root is not null or links is not null")
-    joined = members.join(linked, "rep", "left")
+    joined = members.join(scratch(linked, "ngram-linked"), "rep", "left")
     return joined.select("rid", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
 
 
@@ -301,7 +302,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: str = "80/100", i
     """doc_id, n_shingles, component_id (smallest id reachable by links), n_links (other rows linked directly) for every row of docs."""
     groups = scratch(jaccard_groups(docs, k, threshold, id_col, text_col), "ngram-groups")
     names = groups.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
-    return groups.join(names, "root", "left").select("doc_id", "n_shingles", F.when(F.col("component_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "n_links")
+    return groups.join(scratch(names, "ngram-names"), "root", "left").select("doc_id", "n_shingles", F.when(F.col("component_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "n_links")
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, threshold: str = "80/100", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
