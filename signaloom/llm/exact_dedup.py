@@ -5,8 +5,8 @@ Two texts are equal when they are identical after every space, tab, line feed, v
 Plan. (1) A slim table of facts per row: id, code points of the original text, 128-bit hash (MD5) and SHA-256 of the normalised text. It is written to the
 shared folder once. (2) Keepers: facts grouped by hash, with map-side partial aggregation, so that a group of any size sends one row per task. (3) Byte check: the
 texts themselves are grouped by (hash, bytes), again with partial aggregation, so that copies travel once per task; a hash that holds
-several byte strings is split, and equal pairs of hashes over different bytes raise an error. (4) Facts join the keepers of groups of two rows or more; rows are slim
-and the skewed side of the join is split by adaptive execution.
+several byte strings is split, and equal pairs of hashes over different bytes raise an error. (4) Facts join the keepers of groups of two rows or more, which are
+written to the shared folder first: rows are slim, and the hot partitions of the join are split by adaptive execution.
 
 Defined results. Null text: as the empty text. Empty and white-space texts: one group. Null ids: order after all others. Repeated rows (same id, same text): one of them
 stays. Empty table: no rows. Other columns, of any name, are ignored.
@@ -42,7 +42,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     confirmed = keepers.join(spelled, ["hash", "sha"], "left").select(
         "hash", "sha", "first", F.when(F.col("rows") == F.col("n"), F.col("n")).otherwise(F.raise_error(F.lit("different texts share both digests")).cast("long")).alias("n")
     )
-    grouped = facts.join(confirmed, ["hash", "sha"], "left")
+    # Read from a table, not from its aggregation, both sides of the join are plain exchanges, whose hot partitions adaptive execution can split.
+    grouped = facts.join(scratch(confirmed, "exact-groups"), ["hash", "sha"], "left")
     return grouped.select(
         "rid",
         "doc_id",
