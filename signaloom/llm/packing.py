@@ -1,12 +1,13 @@
-"""Packing by lexical retrieval: a sharded BM25 index returns unused neighbours for each seed, which fill its window.
+"""Packing by lexical retrieval: BM25 over the whole corpus returns unused neighbours for each seed, which fill its window.
 
-Every document is its token ids and an end id. Whole windows of a long document are sequences of their own; what is left of a document, less than a window, is a unit. Units are dealt by a hash of
-their row into shards of about UNITS. A shard builds an inverted index over the token ids of its units (document frequencies and lengths are those of the whole corpus; terms that half of the
-units hold have no weight) and takes seeds in turn: the rest of the unit that was cut last, else the longest unused unit. Unused neighbours are added in the order of
-their BM25 score; the one that passes the end of the window is cut there. So all sequences but one per shard are full.
+Every document is its token ids and an end id. Whole windows of a long document are sequences of their own; what is left of a document, less than a window, is a unit. As many of the longest units
+as there are windows to fill are seeds. In a round, every seed whose window has room is scored against every unused unit of the corpus (document frequencies and lengths are those of the whole
+corpus; terms that half of the units hold have no weight) and names its PROPOSED best. A unit goes to the seed that scores it highest; a window takes its units in the order of their score; the
+one that passes its end is cut there, and its rest stays unused. Rounds go on with what is left until at most UNITS units are; these and the open windows are filled one after another in a single
+task. Scores are rounded to a hundredth, and a hash breaks ties, so that seeds of equal text do not name the same units.
 
-Plan. Tokenising is one pass over the scan, written to the shared folder as 16-bit ids with the piece rows of whole windows; only units are shuffled, once, by shard. The driver holds one number per vocabulary
-entry. Tasks are bounded by UNITS windows.
+Plan. Tokenising is one pass over the scan, written to the shared folder as 16-bit ids with the piece rows of whole windows. A round is a blocked product of seeds and units, BLOCK by BLOCK a task:
+frequent terms as dense matrices, the others by postings. All pairs are scored: its cost grows with the square of the units. The driver holds one number per vocabulary entry and per length.
 
 Defined results. Null or empty text: the end id alone. Null or repeated ids and repeated rows: rows like others. Empty table: no rows. Other columns, of any name, are ignored.
 """
@@ -18,6 +19,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import scratch
@@ -25,6 +27,8 @@ from .tokens import default_vocabulary, encoder
 
 WINDOW, END, UNITS, K1, B = 2_048, 1, 1_024, 1.2, 0.75
 VOCABULARY = 1 << 16
+#: Neighbours that a seed names in a round; seeds and units of a task; share of the units from which on a term is multiplied densely. None changes which pairs are scored.
+PROPOSED, BLOCK, DENSE = 32, 12_288, 0.03
 
 
 def _crc(ids: np.ndarray) -> int:
@@ -71,7 +75,7 @@ def _batch(rows, names, id_type):
 
 
 class Index:
-    """Inverted index of a shard: for each term the units that hold it and their BM25 weights."""
+    """Inverted index: for each term the units that hold it and their BM25 weights."""
 
     def __init__(self, units: list[np.ndarray], idf: np.ndarray, average: float):
         found = [np.unique(u, return_counts=True) for u in units]
@@ -95,20 +99,27 @@ class Index:
         return np.bincount(self.unit[at], self.weight[at], self.size)
 
 
-def fill(units: list[np.ndarray], idf: np.ndarray, average: float, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
-    """Sequences of (unit, from, to) that use every id once; all but the last are full."""
-    index, done = Index(units, idf, average), np.zeros(len(units), np.int64)
+def fill(units: list[np.ndarray], idf: np.ndarray, average: float, window: int = WINDOW, done=None, opened=()) -> list[list[tuple[int, int, int]]]:
+    """Sequences of (unit, from, to) that use every id once; all but the last are full.
+
+    Units are used up to `done`. `opened` has (unit, room) of windows that stand open: their sequences come first, without the part that they hold already, and their own rooms are filled first.
+    """
+    index, done = Index(units, idf, average), np.zeros(len(units), np.int64) if done is None else np.array(done, np.int64)
     sizes = np.array([len(u) for u in units])
-    queue, sequences, cut = np.argsort(-sizes, kind="stable").tolist(), [], None
-    at = 0
+    queue, sequences, cut = np.argsort(-(sizes - done), kind="stable").tolist(), [], None
+    waiting, at = list(reversed(opened)), 0
     while True:
         while at < len(queue) and done[queue[at]] >= sizes[queue[at]]:
             at += 1
         if at == len(queue):
-            return sequences
-        seed = cut if cut is not None and done[cut] < sizes[cut] else queue[at]
-        sequence, room, cut = [(seed, int(done[seed]), int(sizes[seed]))], window - int(sizes[seed] - done[seed]), None
-        done[seed] = sizes[seed]
+            return sequences + [[] for _ in waiting]
+        if waiting:
+            seed, room = waiting.pop()
+            sequence, cut = [], None
+        else:
+            seed = cut if cut is not None and done[cut] < sizes[cut] else queue[at]
+            sequence, room, cut = [(seed, int(done[seed]), int(sizes[seed]))], window - int(sizes[seed] - done[seed]), None
+            done[seed] = sizes[seed]
         if room:
             for near in np.argsort(-index.scores(seed), kind="stable").tolist():
                 left = int(sizes[near] - done[near])
@@ -123,27 +134,184 @@ def fill(units: list[np.ndarray], idf: np.ndarray, average: float, window: int =
         sequences.append(sequence)
 
 
-def _packed(idf: np.ndarray, average: float, window: int, keep: bool):
-    def run(key, table):
-        table = table.sort_by("uid")
-        shard = key[0].as_py()
+def _weighed(idf: np.ndarray, average: float):
+    """Units with their terms and BM25 weights, as bytes of 16-bit and 32-bit numbers."""
+
+    def run(batches):
+        for b in batches:
+            terms, weights = [], []
+            for ids in b.column("ids").to_pylist():
+                term, tf = np.unique(np.frombuffer(ids, "<u2"), return_counts=True)
+                weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * (len(ids) // 2) / average))
+                terms.append(term[weight > 0].tobytes())
+                weights.append(weight[weight > 0].astype("<f4").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("length"), pa.array(terms, pa.binary()), pa.array(weights, pa.binary())], ["uid", "length", "terms", "weights"])
+
+    return run
+
+
+def _flat(parts: list[bytes], kind: str):
+    """All numbers of the parts, and the part of each."""
+    found = [np.frombuffer(x, kind) for x in parts]
+    return np.concatenate(found) if found else np.zeros(0, kind), np.repeat(np.arange(len(found)), [len(f) for f in found])
+
+
+def _mixed(a, b: np.ndarray) -> np.ndarray:
+    """A hash of pairs, the same wherever they meet."""
+    x = np.asarray(a).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ x >> np.uint64(32)) >> np.uint64(1)
+
+
+def _nearest(hot: np.ndarray, most: int):
+    """For each seed of a block its `most` best units of a block: sid, uid, score, tie."""
+    place = np.full(VOCABULARY, -1, np.int64)
+    place[hot] = np.arange(len(hot))
+
+    def run(table):
+        own = np.array(table.column("seed").to_pylist(), bool)
+        seeds, units = table.filter(pa.array(own)), table.filter(pa.array(~own))
+        sid, uid = seeds.column("uid").to_numpy(), units.column("uid").to_numpy()
+        out = []
+        if len(sid) and len(uid):
+            term, unit = _flat(units.column("terms").to_pylist(), "<u2")
+            weight, _ = _flat(units.column("weights").to_pylist(), "<f4")
+            dense = place[term] >= 0
+            matrix = np.zeros((len(hot), len(uid)), np.float32)
+            matrix[place[term[dense]], unit[dense]] = weight[dense]
+            order = np.argsort(term[~dense], kind="stable")
+            first = np.searchsorted(term[~dense][order], np.arange(VOCABULARY + 1))
+            unit, weight = unit[~dense][order], weight[~dense][order]
+            asked = [np.frombuffer(x, "<u2").astype(np.int64) for x in seeds.column("terms").to_pylist()]
+            chunks = np.linspace(0, len(uid), min(len(uid), 8 * most) + 1).astype(np.int64)[:-1]
+            for a in range(0, len(sid), 256):
+                part = asked[a : a + 256]
+                query = np.zeros((len(part), len(hot)), np.float32)
+                for k, terms in enumerate(part):
+                    held = place[terms]
+                    query[k, held[held >= 0]] = 1
+                scores = query @ matrix
+                for k, terms in enumerate(part):
+                    row, rare = scores[k], terms[place[terms] < 0]
+                    start, n = first[rare], first[rare + 1] - first[rare]
+                    if total := int(n.sum()):
+                        at = np.arange(total) + np.repeat(start - np.append(0, np.cumsum(n)[:-1]), n)
+                        row = row + np.bincount(unit[at], weight[at], len(uid))
+                    if len(chunks) > most:  # as many chunks reach this bound as are asked for: no better unit is below it
+                        bound = np.partition(np.maximum.reduceat(row, chunks), -most)[-most]
+                        near = np.flatnonzero(row >= bound - 0.02)
+                    else:
+                        near = np.arange(len(uid))
+                    score, tie = np.round(row[near].astype(float), 2), _mixed(sid[a + k], uid[near])
+                    best = np.lexsort((tie, -score))[:most]
+                    out.append((np.full(len(best), sid[a + k]), uid[near[best]], score[best], tie[best].astype(np.int64)))
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64()))], ["sid", "uid", "score", "tie"])
+
+    return run
+
+
+def _round(windows: DataFrame, unused: DataFrame, n_windows: int, n_unused: int, hot: np.ndarray) -> DataFrame:
+    """Pieces that open windows (sid, room, offset) take of unused units (uid, at, length): sid, uid, start, taken, offset."""
+    by, across = n_windows // BLOCK + 1, n_unused // BLOCK + 1
+    whole = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    asked = windows.select(F.lit(True).alias("seed"), F.col("sid").alias("uid"), "terms", F.lit(None).cast("binary").alias("weights"), dealt("sid", by).alias("a"), whole(across).alias("b"))
+    held = unused.select(F.lit(False).alias("seed"), "uid", "terms", "weights", whole(by).alias("a"), dealt("uid", across).alias("b"))
+    found = asked.unionByName(held).groupBy("a", "b").applyInArrow(_nearest(hot, PROPOSED), "sid long, uid long, score double, tie long")
+    ranked = W.partitionBy("sid").orderBy(F.col("score").desc(), "tie")
+    named = found.withColumn("n", F.row_number().over(ranked)).filter(F.col("n") <= PROPOSED)
+    given = named.groupBy("uid").agg(F.max(F.struct("score", "tie", "sid")).alias("g")).select("uid", "g.*")
+    sized = given.join(unused.select("uid", "at", "length"), "uid").join(windows.select("sid", "room", "offset"), "sid").withColumn("left", F.col("length") - F.col("at"))
+    before = F.coalesce(F.sum("left").over(ranked.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    taken = sized.withColumn("before", before).filter(F.col("before") < F.col("room"))
+    return taken.select("sid", "uid", F.col("at").alias("start"), F.least("left", F.col("room") - F.col("before")).alias("taken"), (F.col("offset") + F.col("before")).alias("offset"))
+
+
+def _seeds(unused: DataFrame, window: int) -> F.Column:
+    """Which unused units open windows: the longest, as many as their tokens need, or a few less."""
+    left = F.col("length") - F.col("at")
+    lengths = sorted(((r[0], r[1]) for r in unused.groupBy(left.alias("left")).count().collect()), reverse=True)  # at most one row per length
+    wanted = -(-sum(a * n for a, n in lengths) // window)
+    for length, n in lengths:
+        if n >= wanted:
+            share = max(0.0, wanted - 3 * wanted**0.5) / n if n > wanted else 1.0
+            return (left > length) | ((left == length) & (F.pmod(F.xxhash64("uid"), F.lit(1 << 30)) < int(share * (1 << 30))))
+        wanted -= n
+    return F.lit(True)
+
+
+def _rest(idf: np.ndarray, average: float, window: int):
+    """The last units and open windows, one window after another."""
+
+    def run(table):
+        table = table.sort_by([("seed", "ascending"), ("uid", "ascending")])
         units = [np.frombuffer(x, "<u2") for x in table.column("ids").to_pylist()]
-        ids, start, whole = table.column("doc_id").to_pylist(), table.column("start").to_pylist(), table.column("doc_tokens").to_pylist()
+        seed, uid, at, room, offset = (table.column(c).to_pylist() for c in ("seed", "uid", "at", "room", "offset"))
+        done = [len(u) if s else a for u, s, a in zip(units, seed, at)]
+        opened = [(k, room[k]) for k in range(len(units)) if seed[k]]
         rows = []
-        for n, sequence in enumerate(fill(units, idf, average, window)):
-            offset = 0
+        for n, sequence in enumerate(fill(units, idf, average, window, done, opened)):
+            sid, place = (uid[opened[n][0]], offset[opened[n][0]]) if n < len(opened) else (uid[sequence[0][0]], 0)
             for u, a, b in sequence:
-                piece = units[u][a:b]
-                rows.append((ids[u], start[u] + a, b - a, _crc(piece), whole[u], 2 * ((shard << 40) + n) + 1, offset, piece.tobytes() if keep else None))
-                offset += b - a
-        columns = list(zip(*rows))
-        types = [table.schema.field("doc_id").type, *[pa.int64()] * 6, pa.binary()]
-        out = pa.table([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
-        return out if keep else out.drop_columns(["ids"])
+                rows.append((sid, uid[u], a, b - a, place))
+                place += b - a
+        names = ["sid", "uid", "start", "taken", "offset"]
+        return pa.table([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 5)], names)
+
+    return run
+
+
+def _cut(keep: bool):
+    def run(batches):
+        for b in batches:
+            ids = [x[2 * s : 2 * (s + n)] for x, s, n in zip(b.column("ids").to_pylist(), b.column("at").to_pylist(), b.column("length").to_pylist())]
+            crc = pa.array([_crc(np.frombuffer(x, "<u2")) for x in ids], pa.int64())
+            columns = [b.column("doc_id"), b.column("start"), b.column("length"), crc, *(b.column(c) for c in ("doc_tokens", "sequence_id", "offset"))]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.binary())] * keep, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * keep)
 
     return run
 
 
+_PIECE = "sid long, uid long, start long, taken long, offset long"
+
+
+def _assigned(units: DataFrame, n: int, idf: np.ndarray, df: np.ndarray, average: float, window: int) -> DataFrame:
+    """sid, uid, start, taken, offset: which part of which unit lies where in the window that unit sid opens."""
+    pieces, windows, opened = [], None, 0
+    unused = units.select("uid", F.lit(0).cast("long").alias("at"), "length")
+    if n > UNITS:
+        weighed = units.select("uid", "length", "ids").mapInArrow(_weighed(idf, average), "uid long, length long, terms binary, weights binary")
+        unused = scratch(weighed.withColumn("at", F.lit(0).cast("long")), "pack-unused")
+        hot = np.flatnonzero((df >= DENSE * n) & (idf > 0))
+    while n > UNITS:
+        if not opened:
+            state = scratch(unused.withColumn("seed", _seeds(unused, window)), "pack-state")
+            seeds, unused = state.filter("seed"), state.filter("not seed").drop("seed")
+            left = F.col("length") - F.col("at")
+            pieces.append(seeds.select(F.col("uid").alias("sid"), "uid", F.col("at").alias("start"), left.alias("taken"), F.lit(0).cast("long").alias("offset")))
+            windows = seeds.select(F.col("uid").alias("sid"), (F.lit(window) - left).alias("room"), left.alias("offset"), "terms").filter("room > 0")
+            opened, n = windows.count(), unused.count()
+            continue
+        made = scratch(_round(windows, unused, opened, n, hot), "pack-round")
+        pieces.append(made)
+        full = made.groupBy("sid").agg(F.sum("taken").alias("taken"))
+        windows = windows.join(full, "sid", "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
+        windows = scratch(windows.select("sid", (F.col("room") - F.col("taken")).alias("room"), (F.col("offset") + F.col("taken")).alias("offset"), "terms").filter("room > 0"), "pack-windows")
+        unused = unused.join(made.select("uid", "taken"), "uid", "left").withColumn("at", F.col("at") + F.coalesce("taken", F.lit(0))).drop("taken")
+        unused = scratch(unused.filter("at < length"), "pack-unused")
+        opened, n = windows.count(), unused.count()
+    none = F.lit(None).cast("long")
+    last = unused.select("uid", F.lit(False).alias("seed"), "at", none.alias("room"), none.alias("offset"))
+    if windows is not None:
+        last = last.unionByName(windows.select(F.col("sid").alias("uid"), F.lit(True).alias("seed"), none.alias("at"), "room", "offset"))
+    last = last.join(units.select("uid", "ids"), "uid")
+    out = last.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_rest(idf, average, window), _PIECE)
+    for p in pieces:
+        out = out.unionByName(p)
+    return out
+
+
 def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; with keep_ids also ids (16-bit, little-endian)."""
     texts = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -161,11 +329,13 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, k
     for term, held in made.filter("kind = 2").groupBy("start").agg(F.sum("length")).collect():  # at most one row per vocabulary entry
         df[term] = held
     idf = np.where(df > 0, np.maximum(0.0, np.log((n - df + 0.5) / (df + 0.5))), 0.0)
-    shards = n // UNITS + 1
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id"] + (["ids"] if keep_ids else [])
     schema = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids binary" if keep_ids else "")
-    dealt = units.select("uid", "doc_id", "start", "doc_tokens", "ids", F.pmod(F.xxhash64("uid"), F.lit(shards)).alias("shard"))
-    packed = dealt.groupBy("shard").applyInArrow(_packed(idf, (total or 1) / max(1, n), window, keep_ids), schema)
+    placed = _assigned(units, n, idf, df, (total or 1) / max(1, n), window).withColumnRenamed("start", "at")
+    cut = placed.join(units.select("uid", "doc_id", "start", "doc_tokens", "ids"), "uid").select(
+        "doc_id", "ids", "at", (F.col("start") + F.col("at")).alias("start"), F.col("taken").alias("length"), "doc_tokens", (2 * F.col("sid") + 1).alias("sequence_id"), "offset"
+    )
+    packed = cut.mapInArrow(_cut(keep_ids), schema)
     whole = made.filter("kind = 0").select(*columns[:6], F.lit(0).cast("long").alias("offset"), *columns[6:])
     return whole.unionByName(packed)
 

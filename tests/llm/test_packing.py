@@ -71,3 +71,23 @@ def test_ids_equal_the_tokenizer(spark):
     t, encode = tokenizer(), encoder(default_vocabulary())
     for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
         assert np.frombuffer(encode(r.text), "<u2").tolist() == t.encode(r.text, add_special_tokens=False).ids
+
+
+def test_neighbours_are_found_across_the_corpus(spark, monkeypatch):
+    """Pairs of related units, far more units than UNITS: a seed gets its own partner, wherever it lies, and every id is used once."""
+    rng = np.random.default_rng(1)
+    words = [f"w{k}" for k in range(3_000)]
+    docs = []
+    for k in range(300):
+        own = rng.choice(words, 40)
+        docs += [(k, " ".join(rng.choice(own, 200))), (1_000 + k, " ".join(rng.choice(own, 120)))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4).cache()
+    df.count()
+    monkeypatch.setattr(packing, "UNITS", 40)
+    monkeypatch.setattr(packing, "BLOCK", 64, raising=False)
+    rows = packing.pack(df).collect()
+    assert held(rows, docs) < 0.1
+    places = defaultdict(set)
+    for r in rows:
+        places[r.doc_id].add(r.sequence_id)
+    assert np.mean([bool(places[k] & places[1_000 + k]) for k in range(300)]) > 0.6
