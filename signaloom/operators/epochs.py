@@ -53,6 +53,20 @@ def reaction(origins: DataFrame, events: DataFrame, most: int) -> DataFrame:
     return found.filter(F.col("event_tf") - F.col("tf") <= most).select("rec", "tf", "name", "event_tf", (F.col("event_tf") - F.col("tf")).alias("latency"))
 
 
+def resampled(frames: DataFrame, by: str, size: int, coverage: float, least: int = 1) -> DataFrame:
+    """by, n, tf: epochs of `size` frames at starts drawn by a hash over all frames of each `by`.
+
+    A frame lies in one of n epochs with a chance of about 1 - (1 - size / frames)^n; n is the least number that brings it to `coverage` (below 1), and `least` at least. Of fewer than `size` frames all are taken.
+    """
+    place = frames.select(by, "tf", (F.row_number().over(W.partitionBy(by).orderBy("tf")) - 1).cast("long").alias("at"))
+    missed = 1 - F.lit(float(size)) / F.col("frames")
+    epochs = F.greatest(F.lit(least), F.when(missed > 0, F.ceil(F.log(F.lit(1 - coverage)) / F.log(missed))).otherwise(1))
+    lots = frames.groupBy(by).agg(F.count("*").alias("frames")).withColumn("n", F.explode(F.sequence(F.lit(0).cast("long"), (epochs - 1).cast("long"))))
+    drawn = F.crc32(F.encode(F.concat_ws("/", F.col(by).cast("string"), F.col("n").cast("string")), "UTF-8"))
+    start = F.pmod(drawn, F.greatest(F.col("frames") - size + 1, F.lit(1)))
+    return lots.withColumn("at", F.explode(F.sequence(start, start + size - 1))).join(place, [by, "at"]).select(by, F.col("n").cast("int").alias("n"), "tf")
+
+
 def grand_average(df: DataFrame, group: str, subject: str, value: str = "value") -> DataFrame:
     """Means per subject, of the subjects' means per group, and overall: two aggregations, the second a rollup."""
     per = df.groupBy(group, subject).agg(F.avg(value).alias("m"))

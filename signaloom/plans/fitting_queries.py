@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import maps as M
+from ..operators import epochs as EP
 from ..operators import filters as FL
 from ..operators import frequency as FR
 from ..operators import microstates as MS
@@ -225,15 +226,7 @@ register("seg_smoothing", lambda s, d: MS.smooth(_labels(s, d), _fits(s, d).with
 register("seg_reject_small", lambda s, d: MS.reject_small(_labels(s, d), 2))
 
 
-def _resampled(s, d):
-    """20 epochs of 8 frames at starts drawn by a hash, per label."""
-    start = F.pmod(F.crc32(F.encode(F.concat_ws("/", F.col("label").cast("string"), F.col("n").cast("string")), "UTF-8")), F.lit(30))
-    lots = V.maps(s, d).select("label").distinct().withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumn("at", F.explode(F.sequence(start, start + 7)))
-    place = V.maps(s, d).select("label", "tf", (F.row_number().over(W.partitionBy("label").orderBy("tf")) - 1).cast("long").alias("at"))
-    return lots.join(place, ["label", "at"]).select("label", "n", "tf")
-
-
-register("seg_resampled_epochs", _resampled)
+register("seg_resampled_epochs", lambda s, d: EP.resampled(V.maps(s, d).select("label", "tf"), "label", 8, 0.95, least=20))
 
 # --- statistics ---------------------------------------------------------------------------------------------------------------------------------------------------------------
 _LI = lambda s, d: V.table(s, d, "lineitem")

@@ -1,6 +1,7 @@
 """Operators on tiny frames with known answers, and invariants."""
 
 import math
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -67,6 +68,26 @@ def test_runs_and_labels(spark):
     assert [(r["from_tf"], r["to_tf"], r["n"]) for r in one] == [(1, 3, 2), (9, 9, 1)]
 
 
+def test_resampled_epochs_reach_all_frames(spark):
+    """The query on about 200 frames a label: starts reach the whole length, epochs are whole, and the share covered is what was asked for."""
+    from signaloom.plans import catalog
+
+    found = catalog.queries()["seg_resampled_epochs"](spark, "/root/testdata/sf0.1").collect()
+    tf = defaultdict(list)
+    for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("label", "vec_id").orderBy("vec_id").collect():
+        tf[r.label].append(r.vec_id)
+    place, epochs = {(k, v): n for k, vs in tf.items() for n, v in enumerate(vs)}, defaultdict(list)
+    for r in found:
+        epochs[r.label, r.n].append(place[r.label, r.tf])
+    assert all(sorted(e) == list(range(min(e), min(e) + 8)) for e in epochs.values())
+    for label, frames in tf.items():
+        reached = {x for (k, _), e in epochs.items() if k == label for x in e}
+        assert max(reached) > 0.9 * len(frames)
+    assert len({(r.label, r.tf) for r in found}) > 0.9 * len(place)
+    few = spark.createDataFrame([(1, t) for t in range(5)], "label int, tf long")
+    assert {r.tf for r in EP.resampled(few, "label", 8, 0.95).collect()} == set(range(5))
+
+
 def test_epochs_reaction_and_rejection(spark):
     s = frame(spark, [0, 1, 2, 3, 4, 500, 6, 7])
     origins = spark.createDataFrame([(1, 2, "t"), (1, 6, "t")], "rec int, tf long, name string")
