@@ -1,13 +1,18 @@
-"""Packing by lexical retrieval: BM25 over the whole corpus returns unused neighbours for each seed, which fill its window.
+"""Packing by lexical retrieval: a sharded BM25 inverted index returns unused neighbours for each seed, which fill its window.
 
-Every document is its token ids and an end id. Whole windows of a long document are sequences of their own; what is left of a document, less than a window, is a unit. As many of the longest units
-as there are windows to fill are seeds. In a round, every seed whose window has room is scored against every unused unit of the corpus (document frequencies and lengths are those of the whole
-corpus; terms that half of the units hold have no weight) and names its PROPOSED best. A unit goes to the seed that scores it highest; a window takes its units in the order of their score; the
-one that passes its end is cut there, and its rest stays unused. Rounds go on with what is left until at most UNITS units are; these and the open windows are filled one after another in a single
-task. Scores are rounded to a hundredth, and a hash breaks ties, so that seeds of equal text do not name the same units.
+Every document is its token ids and an end id. Whole windows of a long document are sequences of their own; what is left of a document, less than a window, is a unit. The index is sharded by
+content: units are sorted by a signature of what they say, and every UNITS of them in that order are a shard, so lexical neighbours share one. Document frequencies and the average length are those of the
+whole corpus. The longest unused unit of a shard is its next seed; unused neighbours fill its window in the order of their BM25 scores, the one that passes its end is cut there, and its rest is a seed.
 
-Plan. Tokenising is one pass over the scan, written to the shared folder as 16-bit ids with the piece rows of whole windows. A round is a blocked product of seeds and units, BLOCK by BLOCK a task:
-frequent terms as dense matrices, the others by postings. All pairs are scored: its cost grows with the square of the units. The driver holds one number per vocabulary entry and per length.
+Two passes, by two signatures. (1) Close: the signature is a minhash of pairs of adjacent ids, which equal and near texts and texts that share passages have in common; a seed takes only neighbours that
+score at least CLOSE of what it scores itself. A window that they fill is done; else what lies in it stays together, as one unit. (2) Fill: the signature is a minhash of ids weighted by the
+squares of their BM25 weights; every window is filled. What a shard cannot fill goes on to the next one of its task, so a task has at most one sequence that is not full.
+
+Plan. Tokenising is one pass over the scan, written to the shared folder as 16-bit ids; each pass is a range exchange by (signature, row), which no hot signature can unbalance, and a stream of
+shards: a task holds one shard, however many units share a signature. The work grows in proportion to the input. The driver holds one number per vocabulary entry.
+
+Limits of the method. Neighbours of different shards do not meet: of the best BM25 neighbours over the whole corpus that score at least CLOSE, about four in five share a shard with their seed in one of
+the passes; of weaker ones, few do. README.md has the figures, and a test holds them against brute force.
 
 Defined results. Null or empty text: the end id alone. Null or repeated ids and repeated rows: rows like others. Empty table: no rows. Other columns, of any name, are ignored.
 """
@@ -19,325 +24,241 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import scratch
+from .shingles import buffers, mix
 from .tokens import default_vocabulary, encoder
 
-WINDOW, END, UNITS, K1, B = 2_048, 1, 1_024, 1.2, 0.75
+WINDOW, END, UNITS, CLOSE, K1, B = 2_048, 1, 1_024, 0.8, 1.2, 0.75
 VOCABULARY = 1 << 16
-#: Neighbours that a seed names in a round; seeds and units of a task; share of the units from which on a term is multiplied densely. None changes which pairs are scored.
-PROPOSED, BLOCK, DENSE = 32, 12_288, 0.03
+#: Units of a task at least, and at most where there are more tasks than shuffle partitions.
+FEW, MANY = 1_024, 1 << 16
+_PIECE = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids")
+_UNIT = ("k1", "k2", "uid", "ids", "docs", "starts", "lengths", "totals")
+_TYPES = {"ids": pa.binary(), "starts": pa.list_(pa.int64()), "lengths": pa.list_(pa.int64()), "totals": pa.list_(pa.int64())}
+
+
+def _schema(id_type: str) -> str:
+    """Rows of pieces (kind 0), units (1) and document frequencies (2: term in k1, number in k2)."""
+    return (
+        f"kind int, doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary, "
+        f"k1 long, k2 long, uid long, docs array<{id_type}>, starts array<long>, lengths array<long>, totals array<long>"
+    )
 
 
-def _crc(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.astype("<u4").tobytes())
+def _batch(kind: int, rows: list[tuple], id_type) -> pa.RecordBatch:
+    names = {0: _PIECE, 1: _UNIT, 2: ("k1", "k2")}[kind]
+    held = dict(zip(names, zip(*rows)))
+    types = {c: pa.int64() for c in (*_PIECE, *_UNIT)} | _TYPES | {"doc_id": id_type, "docs": pa.list_(id_type)}
+    order = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids", "k1", "k2", "uid", "docs", "starts", "lengths", "totals")
+    columns = [pa.array(held[c], types[c]) if c in held else pa.nulls(len(rows), types[c]) for c in order]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), kind, np.int32)), *columns], ["kind", *order])
 
 
-def _tokenised(path: str, window: int, keep: bool):
-    names = ["kind", "uid", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "ids"]
+def pair_signature(ids: np.ndarray) -> tuple[int, int]:
+    """Two minhashes of the pairs of adjacent ids; of a single id, a value of its own."""
+    if len(ids) < 2:
+        return 0, int(ids[0]) if len(ids) else 0
+    pairs = (ids[:-1].astype(np.uint64) << np.uint64(16) | ids[1:]) * np.uint64(0x9E3779B97F4A7C15)
+    pairs = (pairs ^ pairs >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9)
+    again = (pairs ^ pairs >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
+    return int(pairs.min() >> np.uint64(1)), int(again.min() >> np.uint64(1))
 
-    def run(batches):
-        from pyspark import TaskContext
 
-        encode, made, df = encoder(path), TaskContext.get().partitionId() << 40, np.zeros(VOCABULARY, np.int64)
-        for b in batches:
-            rows = []
-            for uid, doc, text in zip(b.column("uid").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                ids = np.append(np.frombuffer(encode(text or ""), "<u2"), np.uint16(END))
-                full = len(ids) // window
-                for s in range(0, full * window, window):
-                    piece = ids[s : s + window]
-                    rows.append((0, uid, doc, s, window, _crc(piece), len(ids), 2 * made, piece.tobytes() if keep else None))
-                    made += 1
-                if len(ids) > full * window:
-                    rest = ids[full * window :]
-                    df[np.unique(rest)] += 1
-                    rows.append((1, uid, doc, full * window, len(rest), None, len(ids), None, rest.tobytes()))
-                if len(rows) >= 2_000:
-                    yield _batch(rows, names, b.schema.field("doc_id").type)
-                    rows = []
-            if rows:
-                yield _batch(rows, names, b.schema.field("doc_id").type)
-        terms = np.flatnonzero(df)
-        if len(terms):
-            yield _batch([(2, None, None, int(t), int(df[t]), None, None, None, None) for t in terms], names, b.schema.field("doc_id").type)
-
-    return run
+def term_signature(terms: np.ndarray, weights: np.ndarray) -> tuple[int, int]:
+    """Two of the terms, drawn by weighted minhashes: a term is named with a probability in proportion to its squared weight."""
+    if not len(terms):
+        return -1, -1
+    drawn = []
+    for salt in (1, 2):
+        u = mix(terms.astype(np.uint64), salt).astype(np.float64) / 2.0**64 + 1e-12
+        drawn.append(int(terms[np.argmin(-np.log(u) / weights.astype(np.float64) ** 2)]))
+    return drawn[0], drawn[1]
 
 
-def _batch(rows, names, id_type):
-    columns = list(zip(*rows))
-    types = [pa.int32(), pa.int64(), id_type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    plain = [pa.array(c, t) for c, t in zip(columns, types)]
-    return pa.RecordBatch.from_arrays(plain, names)
+def weigh(ids: np.ndarray, idf: np.ndarray, average: float) -> tuple[np.ndarray, np.ndarray]:
+    """Terms of a unit and their BM25 weights; terms of no weight are left out."""
+    term, tf = np.unique(ids, return_counts=True)
+    weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / average))
+    held = weight > 0
+    return term[held].astype(np.int64), weight[held].astype(np.float32)
 
 
 class Index:
     """Inverted index: for each term the units that hold it and their BM25 weights."""
 
-    def __init__(self, units: list[np.ndarray], idf: np.ndarray, average: float):
-        found = [np.unique(u, return_counts=True) for u in units]
-        term = np.concatenate([f[0] for f in found]).astype(np.int64)
-        tf = np.concatenate([f[1] for f in found]).astype(np.float64)
-        unit = np.repeat(np.arange(len(units)), [len(f[0]) for f in found])
-        length = np.array([len(u) for u in units], np.float64)
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[unit] / average))
-        held = weight > 0
-        order = np.argsort(term[held], kind="stable")
-        self.unit, self.weight = unit[held][order], weight[held][order].astype(np.float32)
-        self.first = np.searchsorted(term[held][order], np.arange(len(idf) + 1))
-        self.terms = [f[0][idf[f[0]] > 0].astype(np.int64) for f in found]
-        self.size = len(units)
+    def __init__(self, units: list[tuple[np.ndarray, np.ndarray]]):
+        self.terms, self.size = [t for t, _ in units], len(units)
+        term = np.concatenate(self.terms) if units else np.zeros(0, np.int64)
+        weight = np.concatenate([w for _, w in units]) if units else np.zeros(0, np.float32)
+        unit = np.repeat(np.arange(len(units)), [len(t) for t in self.terms])
+        order = np.argsort(term, kind="stable")
+        self.unit, self.weight = unit[order], weight[order]
+        self.first = np.searchsorted(term[order], np.arange(VOCABULARY + 1))
 
     def scores(self, seed: int) -> np.ndarray:
+        """BM25 scores of all units for the terms of a seed."""
         start = self.first[self.terms[seed]]
         n = self.first[self.terms[seed] + 1] - start
-        total = int(n.sum())
-        at = np.arange(total) + np.repeat(start - np.append(0, np.cumsum(n)[:-1]), n) if total else np.zeros(0, np.int64)
+        ends = np.cumsum(n)
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - ends + n, n)
         return np.bincount(self.unit[at], self.weight[at], self.size)
 
 
-def fill(units: list[np.ndarray], idf: np.ndarray, average: float, window: int = WINDOW, done=None, opened=()) -> list[list[tuple[int, int, int]]]:
-    """Sequences of (unit, from, to) that use every id once; all but the last are full.
-
-    Units are used up to `done`. `opened` has (unit, room) of windows that stand open: their sequences come first, without the part that they hold already, and their own rooms are filled first.
-    """
-    index, done = Index(units, idf, average), np.zeros(len(units), np.int64) if done is None else np.array(done, np.int64)
-    sizes = np.array([len(u) for u in units])
-    queue, sequences, cut = np.argsort(-(sizes - done), kind="stable").tolist(), [], None
-    waiting, at = list(reversed(opened)), 0
+def fill(sizes: np.ndarray, index: Index, window: int = WINDOW, least: float = 0.0) -> list[list[tuple[int, int, int]]]:
+    """Sequences of (unit, from, to) that use every id once. Without `least` all but the last are full; with it, a seed takes neighbours of at least that share of its own score only."""
+    done, sequences, cut = np.zeros(len(sizes), np.int64), [], None
+    queue, at = np.argsort(-sizes, kind="stable").tolist(), 0
     while True:
         while at < len(queue) and done[queue[at]] >= sizes[queue[at]]:
             at += 1
         if at == len(queue):
-            return sequences + [[] for _ in waiting]
-        if waiting:
-            seed, room = waiting.pop()
-            sequence, cut = [], None
-        else:
-            seed = cut if cut is not None and done[cut] < sizes[cut] else queue[at]
-            sequence, room, cut = [(seed, int(done[seed]), int(sizes[seed]))], window - int(sizes[seed] - done[seed]), None
-            done[seed] = sizes[seed]
+            return sequences
+        seed = cut if cut is not None and done[cut] < sizes[cut] else queue[at]
+        sequence, room, cut = [(seed, int(done[seed]), int(sizes[seed]))], window - int(sizes[seed] - done[seed]), None
+        done[seed] = sizes[seed]
         if room:
-            for near in np.argsort(-index.scores(seed), kind="stable").tolist():
-                left = int(sizes[near] - done[near])
-                if left:
-                    take = min(left, room)
-                    sequence.append((near, int(done[near]), int(done[near]) + take))
-                    done[near] += take
-                    room -= take
-                    if not room:
-                        cut = near
-                        break
+            scores = index.scores(seed)
+            near = np.flatnonzero((done < sizes) & (scores >= least * scores[seed] if least else True))
+            for k in near[np.argsort(-scores[near], kind="stable")].tolist():
+                take = min(int(sizes[k] - done[k]), room)
+                sequence.append((k, int(done[k]), int(done[k]) + take))
+                done[k] += take
+                room -= take
+                if not room:
+                    cut = k
+                    break
         sequences.append(sequence)
 
 
-def _weighed(idf: np.ndarray, average: float):
-    """Units with their terms and BM25 weights, as bytes of 16-bit and 32-bit numbers."""
+class Unit:
+    """Ids that lie together, and the parts of documents that they are."""
 
-    def run(batches):
-        for b in batches:
-            terms, weights = [], []
-            for ids in b.column("ids").to_pylist():
-                term, tf = np.unique(np.frombuffer(ids, "<u2"), return_counts=True)
-                weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * (len(ids) // 2) / average))
-                terms.append(term[weight > 0].tobytes())
-                weights.append(weight[weight > 0].astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("length"), pa.array(terms, pa.binary()), pa.array(weights, pa.binary())], ["uid", "length", "terms", "weights"])
+    def __init__(self, uid: int, ids: np.ndarray, parts: list[tuple]):
+        self.uid, self.ids, self.parts = uid, ids, parts  # parts: doc, start, length, total
 
-    return run
+    def between(self, a: int, b: int):
+        """The parts of the ids from a to b, with their ids."""
+        at = 0
+        for doc, start, length, total in self.parts:
+            low, high = max(a, at), min(b, at + length)
+            if low < high:
+                yield doc, start + low - at, high - low, total, self.ids[low:high]
+            at += length
+            if at >= b:
+                return
 
 
-def _flat(parts: list[bytes], kind: str):
-    """All numbers of the parts, and the part of each."""
-    found = [np.frombuffer(x, kind) for x in parts]
-    return np.concatenate(found) if found else np.zeros(0, kind), np.repeat(np.arange(len(found)), [len(f) for f in found])
-
-
-def _mixed(a, b: np.ndarray) -> np.ndarray:
-    """A hash of pairs, the same wherever they meet."""
-    x = np.asarray(a).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-    return (x ^ x >> np.uint64(32)) >> np.uint64(1)
-
-
-def _nearest(hot: np.ndarray, most: int):
-    """For each seed of a block its `most` best units of a block: sid, uid, score, tie."""
-    place = np.full(VOCABULARY, -1, np.int64)
-    place[hot] = np.arange(len(hot))
-
-    def run(table):
-        own = np.array(table.column("seed").to_pylist(), bool)
-        seeds, units = table.filter(pa.array(own)), table.filter(pa.array(~own))
-        sid, uid = seeds.column("uid").to_numpy(), units.column("uid").to_numpy()
-        out = []
-        if len(sid) and len(uid):
-            term, unit = _flat(units.column("terms").to_pylist(), "<u2")
-            weight, _ = _flat(units.column("weights").to_pylist(), "<f4")
-            dense = place[term] >= 0
-            matrix = np.zeros((len(hot), len(uid)), np.float32)
-            matrix[place[term[dense]], unit[dense]] = weight[dense]
-            order = np.argsort(term[~dense], kind="stable")
-            first = np.searchsorted(term[~dense][order], np.arange(VOCABULARY + 1))
-            unit, weight = unit[~dense][order], weight[~dense][order]
-            asked = [np.frombuffer(x, "<u2").astype(np.int64) for x in seeds.column("terms").to_pylist()]
-            chunks = np.linspace(0, len(uid), min(len(uid), 8 * most) + 1).astype(np.int64)[:-1]
-            for a in range(0, len(sid), 256):
-                part = asked[a : a + 256]
-                query = np.zeros((len(part), len(hot)), np.float32)
-                for k, terms in enumerate(part):
-                    held = place[terms]
-                    query[k, held[held >= 0]] = 1
-                scores = query @ matrix
-                for k, terms in enumerate(part):
-                    row, rare = scores[k], terms[place[terms] < 0]
-                    start, n = first[rare], first[rare + 1] - first[rare]
-                    if total := int(n.sum()):
-                        at = np.arange(total) + np.repeat(start - np.append(0, np.cumsum(n)[:-1]), n)
-                        row = row + np.bincount(unit[at], weight[at], len(uid))
-                    if len(chunks) > most:  # as many chunks reach this bound as are asked for: no better unit is below it
-                        bound = np.partition(np.maximum.reduceat(row, chunks), -most)[-most]
-                        near = np.flatnonzero(row >= bound - 0.02)
-                    else:
-                        near = np.arange(len(uid))
-                    score, tie = np.round(row[near].astype(float), 2), _mixed(sid[a + k], uid[near])
-                    best = np.lexsort((tie, -score))[:most]
-                    out.append((np.full(len(best), sid[a + k]), uid[near[best]], score[best], tie[best].astype(np.int64)))
-        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64()))], ["sid", "uid", "score", "tie"])
+def _crc(ids: np.ndarray) -> int:
+    return zlib.crc32(ids.astype("<u4").tobytes())
 
-    return run
 
+def _tokenised(path: str, window: int, keep: bool):
+    def run(batches):
+        from pyspark import TaskContext
 
-def _round(windows: DataFrame, unused: DataFrame, n_windows: int, n_unused: int, hot: np.ndarray) -> DataFrame:
-    """Pieces that open windows (sid, room, offset) take of unused units (uid, at, length): sid, uid, start, taken, offset."""
-    by, across = n_windows // BLOCK + 1, n_unused // BLOCK + 1
-    whole = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    asked = windows.select(F.lit(True).alias("seed"), F.col("sid").alias("uid"), "terms", F.lit(None).cast("binary").alias("weights"), dealt("sid", by).alias("a"), whole(across).alias("b"))
-    held = unused.select(F.lit(False).alias("seed"), "uid", "terms", "weights", whole(by).alias("a"), dealt("uid", across).alias("b"))
-    found = asked.unionByName(held).groupBy("a", "b").applyInArrow(_nearest(hot, PROPOSED), "sid long, uid long, score double, tie long")
-    ranked = W.partitionBy("sid").orderBy(F.col("score").desc(), "tie")
-    named = found.withColumn("n", F.row_number().over(ranked)).filter(F.col("n") <= PROPOSED)
-    given = named.groupBy("uid").agg(F.max(F.struct("score", "tie", "sid")).alias("g")).select("uid", "g.*")
-    sized = given.join(unused.select("uid", "at", "length"), "uid").join(windows.select("sid", "room", "offset"), "sid").withColumn("left", F.col("length") - F.col("at"))
-    before = F.coalesce(F.sum("left").over(ranked.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    taken = sized.withColumn("before", before).filter(F.col("before") < F.col("room"))
-    return taken.select("sid", "uid", F.col("at").alias("start"), F.least("left", F.col("room") - F.col("before")).alias("taken"), (F.col("offset") + F.col("before")).alias("offset"))
-
-
-def _seeds(unused: DataFrame, window: int) -> F.Column:
-    """Which unused units open windows: the longest, as many as their tokens need, or a few less."""
-    left = F.col("length") - F.col("at")
-    lengths = sorted(((r[0], r[1]) for r in unused.groupBy(left.alias("left")).count().collect()), reverse=True)  # at most one row per length
-    wanted = -(-sum(a * n for a, n in lengths) // window)
-    for length, n in lengths:
-        if n >= wanted:
-            share = max(0.0, wanted - 3 * wanted**0.5) / n if n > wanted else 1.0
-            return (left > length) | ((left == length) & (F.pmod(F.xxhash64("uid"), F.lit(1 << 30)) < int(share * (1 << 30))))
-        wanted -= n
-    return F.lit(True)
-
-
-def _rest(idf: np.ndarray, average: float, window: int):
-    """The last units and open windows, one window after another."""
-
-    def run(table):
-        table = table.sort_by([("seed", "ascending"), ("uid", "ascending")])
-        units = [np.frombuffer(x, "<u2") for x in table.column("ids").to_pylist()]
-        seed, uid, at, room, offset = (table.column(c).to_pylist() for c in ("seed", "uid", "at", "room", "offset"))
-        done = [len(u) if s else a for u, s, a in zip(units, seed, at)]
-        opened = [(k, room[k]) for k in range(len(units)) if seed[k]]
-        rows = []
-        for n, sequence in enumerate(fill(units, idf, average, window, done, opened)):
-            sid, place = (uid[opened[n][0]], offset[opened[n][0]]) if n < len(opened) else (uid[sequence[0][0]], 0)
-            for u, a, b in sequence:
-                rows.append((sid, uid[u], a, b - a, place))
-                place += b - a
-        names = ["sid", "uid", "start", "taken", "offset"]
-        return pa.table([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 5)], names)
+        encode, made, df = encoder(path), TaskContext.get().partitionId() << 33, np.zeros(VOCABULARY, np.int64)
+        for b in batches:
+            id_type, pieces, units = b.schema.field("doc_id").type, [], []
+            for doc, uid, found in zip(b.column("doc_id").to_pylist(), b.column("uid").to_pylist(), encode(*buffers(b.column("text")))):
+                ids = np.append(found, np.uint16(END)).astype("<u2", copy=False)
+                full = len(ids) // window * window
+                for s in range(0, full, window):
+                    piece = ids[s : s + window]
+                    pieces.append((doc, s, window, _crc(piece), len(ids), 3 * made, 0, piece.tobytes() if keep else None))
+                    made += 1
+                if len(ids) > full:
+                    rest = ids[full:]
+                    df[np.unique(rest)] += 1
+                    units.append((*pair_signature(rest), uid, rest.tobytes(), [doc], [full], [len(rest)], [len(ids)]))
+                if len(pieces) >= 2_000:
+                    yield _batch(0, pieces, id_type)
+                    pieces = []
+            if pieces:
+                yield _batch(0, pieces, id_type)
+            if units:
+                yield _batch(1, units, id_type)
+        terms = np.flatnonzero(df)
+        if len(terms):
+            yield _batch(2, [(int(t), int(df[t])) for t in terms], id_type)
 
     return run
 
 
-def _cut(keep: bool):
+def _packed(stage: int, least: float, idf: np.ndarray, average: float, window: int, keep: bool, units_of_shard: int):
+    """Shards of sorted units -> pieces of finished sequences and, with `least`, units of what is left."""
+
+    def shard(units: list[Unit], last: bool):
+        """Finished sequences, and what is to go on: with `least` as units, else as the one that is not full."""
+        index = Index([weigh(u.ids, idf, average) for u in units])
+        finished, left = [], []
+        for sequence in fill(np.array([len(u.ids) for u in units]), index, window, least):
+            if sum(b - a for _, a, b in sequence) == window or last and not least:
+                finished.append([p for k, a, b in sequence for p in units[k].between(a, b)])
+            else:
+                parts = [p for k, a, b in sequence for p in units[k].between(a, b)]
+                left.append(Unit(units[sequence[0][0]].uid, np.concatenate([p[4] for p in parts]), [p[:4] for p in parts]))
+        return finished, left
+
     def run(batches):
+        from pyspark import TaskContext
+
+        made, held, carried = TaskContext.get().partitionId() << 33, [], []
+
+        def pack(units, last):
+            nonlocal made
+            finished, left = shard(units, last)
+            rows = []
+            for sequence in finished:
+                at = 0
+                for doc, start, length, total, ids in sequence:
+                    rows.append((doc, start, length, _crc(ids), total, 3 * made + stage, at, ids.tobytes() if keep else None))
+                    at += length
+                made += 1
+            out = [_batch(0, rows, id_type)] if rows else []
+            if least:
+                rows = [(*term_signature(*weigh(u.ids, idf, average)), u.uid, u.ids.tobytes(), *([p[k] for p in u.parts] for k in range(4))) for u in left]
+                return out + ([_batch(1, rows, id_type)] if rows else []), []
+            return out, left
+
         for b in batches:
-            ids = [x[2 * s : 2 * (s + n)] for x, s, n in zip(b.column("ids").to_pylist(), b.column("at").to_pylist(), b.column("length").to_pylist())]
-            crc = pa.array([_crc(np.frombuffer(x, "<u2")) for x in ids], pa.int64())
-            columns = [b.column("doc_id"), b.column("start"), b.column("length"), crc, *(b.column(c) for c in ("doc_tokens", "sequence_id", "offset"))]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.binary())] * keep, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * keep)
+            id_type = b.schema.field("docs").type.value_type
+            for uid, ids, *parts in zip(*(b.column(c).to_pylist() for c in ("uid", "ids", "docs", "starts", "lengths", "totals"))):
+                held.append(Unit(uid, np.frombuffer(ids, "<u2"), list(zip(*parts))))
+                if len(held) >= units_of_shard:
+                    out, carried = pack(carried + held, False)
+                    held = []
+                    yield from out
+        if held or carried:
+            yield from pack(carried + held, True)[0]
 
     return run
 
 
-_PIECE = "sid long, uid long, start long, taken long, offset long"
-
-
-def _assigned(units: DataFrame, n: int, idf: np.ndarray, df: np.ndarray, average: float, window: int) -> DataFrame:
-    """sid, uid, start, taken, offset: which part of which unit lies where in the window that unit sid opens."""
-    pieces, windows, opened = [], None, 0
-    unused = units.select("uid", F.lit(0).cast("long").alias("at"), "length")
-    if n > UNITS:
-        weighed = units.select("uid", "length", "ids").mapInArrow(_weighed(idf, average), "uid long, length long, terms binary, weights binary")
-        unused = scratch(weighed.withColumn("at", F.lit(0).cast("long")), "pack-unused")
-        hot = np.flatnonzero((df >= DENSE * n) & (idf > 0))
-    while n > UNITS:
-        if not opened:
-            state = scratch(unused.withColumn("seed", _seeds(unused, window)), "pack-state")
-            seeds, unused = state.filter("seed"), state.filter("not seed").drop("seed")
-            left = F.col("length") - F.col("at")
-            pieces.append(seeds.select(F.col("uid").alias("sid"), "uid", F.col("at").alias("start"), left.alias("taken"), F.lit(0).cast("long").alias("offset")))
-            windows = seeds.select(F.col("uid").alias("sid"), (F.lit(window) - left).alias("room"), left.alias("offset"), "terms").filter("room > 0")
-            opened, n = windows.count(), unused.count()
-            continue
-        made = scratch(_round(windows, unused, opened, n, hot), "pack-round")
-        pieces.append(made)
-        full = made.groupBy("sid").agg(F.sum("taken").alias("taken"))
-        windows = windows.join(full, "sid", "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
-        windows = scratch(windows.select("sid", (F.col("room") - F.col("taken")).alias("room"), (F.col("offset") + F.col("taken")).alias("offset"), "terms").filter("room > 0"), "pack-windows")
-        unused = unused.join(made.select("uid", "taken"), "uid", "left").withColumn("at", F.col("at") + F.coalesce("taken", F.lit(0))).drop("taken")
-        unused = scratch(unused.filter("at < length"), "pack-unused")
-        opened, n = windows.count(), unused.count()
-    none = F.lit(None).cast("long")
-    last = unused.select("uid", F.lit(False).alias("seed"), "at", none.alias("room"), none.alias("offset"))
-    if windows is not None:
-        last = last.unionByName(windows.select(F.col("sid").alias("uid"), F.lit(True).alias("seed"), none.alias("at"), "room", "offset"))
-    last = last.join(units.select("uid", "ids"), "uid")
-    out = last.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_rest(idf, average, window), _PIECE)
-    for p in pieces:
-        out = out.unionByName(p)
-    return out
+def _sorted(units: DataFrame, n: int) -> DataFrame:
+    spark = units.sparkSession
+    tasks = max(1, min(-(-n // FEW), max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // MANY))))
+    return units.repartitionByRange(tasks, "k1", "k2", "uid").sortWithinPartitions("k1", "k2", "uid")
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; with keep_ids also ids (16-bit, little-endian)."""
     texts = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    id_type = texts.schema["doc_id"].dataType.simpleString()
-    made = scratch(
-        texts.mapInArrow(
-            _tokenised(vocabulary or default_vocabulary(), window, keep_ids),
-            f"kind int, uid long, doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, ids binary",
-        ),
-        "pack-tokens",
-    )
-    units = made.filter("kind = 1")
-    n, total = units.agg(F.count("*"), F.sum("length")).first()
+    schema = _schema(texts.schema["doc_id"].dataType.simpleString())
+    made = scratch(texts.mapInArrow(_tokenised(vocabulary or default_vocabulary(), window, keep_ids), schema), "pack-tokens")
+    units = made.filter("kind = 1").select(*_UNIT)
+    n, total = units.agg(F.count("*"), F.sum(F.octet_length("ids") / 2)).first()
     df = np.zeros(VOCABULARY)
-    for term, held in made.filter("kind = 2").groupBy("start").agg(F.sum("length")).collect():  # at most one row per vocabulary entry
+    for term, held in made.filter("kind = 2").groupBy("k1").agg(F.sum("k2")).collect():  # at most one row per vocabulary entry
         df[term] = held
     idf = np.where(df > 0, np.maximum(0.0, np.log((n - df + 0.5) / (df + 0.5))), 0.0)
-    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id"] + (["ids"] if keep_ids else [])
-    schema = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids binary" if keep_ids else "")
-    placed = _assigned(units, n, idf, df, (total or 1) / max(1, n), window).withColumnRenamed("start", "at")
-    cut = placed.join(units.select("uid", "doc_id", "start", "doc_tokens", "ids"), "uid").select(
-        "doc_id", "ids", "at", (F.col("start") + F.col("at")).alias("start"), F.col("taken").alias("length"), "doc_tokens", (2 * F.col("sid") + 1).alias("sequence_id"), "offset"
-    )
-    packed = cut.mapInArrow(_cut(keep_ids), schema)
-    whole = made.filter("kind = 0").select(*columns[:6], F.lit(0).cast("long").alias("offset"), *columns[6:])
-    return whole.unionByName(packed)
+    average = (total or 1) / max(1, n)
+    close = scratch(_sorted(units, n).mapInArrow(_packed(1, CLOSE, idf, average, window, keep_ids, UNITS), schema), "pack-close")
+    rest = _sorted(close.filter("kind = 1").select(*_UNIT), n).mapInArrow(_packed(2, 0.0, idf, average, window, keep_ids, UNITS), schema)
+    columns = _PIECE if keep_ids else _PIECE[:-1]
+    whole, done = (x.filter("kind = 0").select(*columns) for x in (made, close))
+    return whole.unionByName(done).unionByName(rest.select(*columns))
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

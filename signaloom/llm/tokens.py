@@ -1,54 +1,175 @@
-"""Token ids of whole texts with a public byte-level BPE vocabulary."""
+"""Token ids of whole texts with a public byte-level BPE vocabulary, as its `tokenizers` file gives them."""
 
 from __future__ import annotations
 
-import base64
+import json
 import re
 import sys
 
 import numpy as np
 
-CACHED = 400_000
+#: Pieces whose ids a Python worker keeps; bytes that it cuts into pieces at a time.
+CACHED, SLICE = 1_500_000, 1 << 22
 _GAP = re.compile(r"\s \s")
+# Bytes that may end or begin white space in UTF-8; texts with a space between two such are looked at more closely.
+_MAY_END, _MAY_BEGIN = np.zeros(256, bool), np.zeros(256, bool)
+_MAY_END[[*range(9, 14), *range(28, 33), *range(0x80, 0x8B), 0x85, 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = True
+_MAY_BEGIN[[*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3]] = True
+_VALUE = np.random.default_rng(20250117).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE, _BASE_BACK = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+_LOW, _BACK = (np.array([pow(b, k, 1 << 64) for k in range(4096)], np.uint64) for b in (_BASE, _BASE_BACK))
+_BACK_FAR = np.array([pow(_BASE_BACK, 4096 * k, 1 << 64) for k in range(SLICE // 4096 + 2)], np.uint64)
+_powers: list[np.ndarray] = []
+
+
+def _power(n: int) -> np.ndarray:
+    """Powers of the hash's base, in order."""
+    if not _powers or len(_powers[0]) < n:
+        far = np.array([pow(_BASE, 4096 * k, 1 << 64) for k in range(n // 4096 + 1)], np.uint64)
+        _powers[:] = [(far[:, None] * _LOW[None, :]).reshape(-1)]
+    return _powers[0][:n]
 
 
 def default_vocabulary() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def byte_symbols() -> dict[str, int]:
+    """The printable characters that stand for bytes in a byte-level vocabulary: printable Latin-1 for itself, the other bytes in order from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
 
 
-def encoder(path: str):
-    """A function text -> ids as bytes (little-endian, 16 bits). It is kept for the life of the Python worker.
+def vocabulary(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """Ranks of ordinary tokens by their bytes, and ids of the added tokens, of a `tokenizers` file."""
+    with open(path, encoding="utf-8") as file:
+        held = json.load(file)
+    added = {t["content"]: int(t["id"]) for t in held.get("added_tokens", ())}
+    symbol = byte_symbols()
+    return {bytes(symbol[c] for c in token): int(k) for token, k in held["model"]["vocab"].items() if token not in added}, added
 
-    A single space between two other characters always begins a token, so texts are cut there and the ids of each piece are looked up or computed once. Only where white space follows
-    white space around a space would the cut matter; such texts are encoded whole.
+
+class Encoder:
+    """Texts -> ids of 16 bits.
+
+    A single space between two other characters always begins a token, so texts are cut there into pieces, each with the space before it. Pieces are told apart by 64-bit hashes, computed for all
+    pieces of a slice at once; the ids of a piece are encoded once and then gathered from a table. Pieces not met before are encoded together and told apart by the tokens that begin with a space. Only
+    where white space follows white space around a space would the cut matter; such texts, and those with the string of an added token, are encoded by themselves.
     """
-    kept = sys.__dict__.setdefault("_signaloom_encoders", {})  # functions travel by value: their own globals do not outlive a task
-    if path not in kept:
+
+    def __init__(self, path: str):
         import public_tokenizers
         import tiktoken
 
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(path, "rb"))}
-        if len(ranks) > 1 << 16:
+        ranks, self.added = vocabulary(path)
+        if max([*ranks.values(), *self.added.values()]) >= 1 << 16:
             raise ValueError("the vocabulary does not fit 16 bits")
-        plain = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        pack = lambda text: np.array(plain(text), "<u2").tobytes()
+        self.plain = tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.opens = np.zeros(1 << 16, bool)
+        self.opens[[k for token, k in ranks.items() if token[:1] == b" "]] = True
+        self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.start, self.count, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
+
+    def whole(self, text: str) -> np.ndarray:
+        """Ids of a text by itself."""
+        if self.special is None:
+            return np.array(self.plain(text), np.uint16)
+        parts = [[self.added[t]] if t in self.added else self.plain(t) for t in self.special.split(text)]
+        return np.array([k for p in parts for k in p], np.uint16)
+
+    def learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+        """Adds pieces (those but the first of a text begin with a space) to the table; keys are sorted and new."""
+        easy = [p[:1] == " " and len(p) > 1 and not p[1].isspace() and not p[-1].isspace() for p in pieces]
+        joined = "".join(p for p, e in zip(pieces, easy) if e)
+        ids = np.array(self.plain(joined), np.uint16)
+        first = np.flatnonzero(self.opens[ids])
+        if len(first) != sum(easy) or len(first) and first[0]:
+            easy, ids, first = [False] * len(pieces), ids[:0], first[:0]
+        easy = np.array(easy, bool)
+        rest = [np.array(self.plain(p), np.uint16) for p, e in zip(pieces, easy) if not e]
+        start, count, at = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64), len(self.flat)
+        start[easy], count[easy] = at + first, np.diff(np.append(first, len(ids)))
+        size = np.array([len(r) for r in rest], np.int64)
+        start[~easy], count[~easy] = at + len(ids) + np.append(0, np.cumsum(size))[:-1], size
+        self.flat = np.concatenate([self.flat, ids, *rest])
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.start, self.count = (np.insert(x, place, y) for x, y in ((self.keys, keys), (self.start, start), (self.count, count)))
 
-        class Pieces(dict):
-            def __missing__(self, piece):
-                if len(self) >= CACHED:
-                    self.clear()
-                self[piece] = found = pack(" " + piece)
-                return found
+    def _slice(self, data, start, end, inner) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of consecutive pieces, and how many each has."""
+        low = int(start[0])
+        total = np.cumsum(_VALUE[data[low : int(end[-1])]] * _power(int(end[-1]) - low))
+        total = np.append(np.uint64(0), total)
+        key = (total[end - low] - total[start - low]) * _BACK[(start - low) & 4095] * _BACK_FAR[(start - low) >> 12]
+        key = key + (2 * (end - start) + inner).astype(np.uint64)
+        key = (key ^ key >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+        known, at, back = np.unique(key ^ key >> np.uint64(32), return_index=True, return_inverse=True)
+        place = np.searchsorted(self.keys, known)
+        new = np.append(self.keys, np.uint64(0))[place] != known if len(self.keys) else np.ones(len(known), bool)
+        new |= place == len(self.keys)
+        if new.any():
+            if len(self.keys) + int(new.sum()) > CACHED:
+                self.forget()
+                new = np.ones(len(known), bool)
+            raw = data.tobytes() if len(data) < 2 * SLICE else None
+            a, b = (start - inner)[at[new]], end[at[new]]
+            if raw is None:
+                base = int(a.min())
+                raw, a, b = data[base : int(b.max())].tobytes(), a - base, b - base
+            self.learn(known[new], [raw[i:j].decode() for i, j in zip(a.tolist(), b.tolist())])
+            place = np.searchsorted(self.keys, known)
+        first, count = self.start[place][back], self.count[place][back]
+        ends = np.cumsum(count)
+        return self.flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - ends + count, count)], count
 
-        pieces = Pieces()
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """Ids of each text of an Arrow buffer of UTF-8."""
+        n = len(offsets) - 1
+        space = np.flatnonzero(data == 32)
+        start = np.concatenate([space + 1, offsets[:-1]])
+        inner = np.append(np.ones(len(space), np.int64), np.zeros(n, np.int64))
+        order = np.argsort(start, kind="stable")  # where a text ends with a space, its last piece comes before the next text
+        start, inner = start[order], inner[order]
+        end = np.append(start[1:] - inner[1:], len(data))
+        ids, counts, at = [], [], 0
+        while at < len(start):
+            stop = max(at + 1, int(np.searchsorted(start, start[at] + SLICE, "left")))
+            found, count = self._slice(data, start[at:stop], end[at:stop], inner[at:stop])
+            ids.append(found)
+            counts.append(count)
+            at = stop
+        upto = np.append(0, np.cumsum(np.concatenate(counts)) if counts else [])
+        cuts = np.append(upto[np.flatnonzero(inner == 0)], upto[-1]).astype(np.int64)
+        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint16)
+        out = [flat[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        before, after = data[np.maximum(space - 1, 0)], data[np.minimum(space + 1, max(0, len(data) - 1))]
+        odd = np.searchsorted(offsets, space[_MAY_END[before] & _MAY_BEGIN[after]], "right") - 1
+        odd = {*odd.tolist(), *self._with_added(data, offsets)}
+        for k in odd:
+            text = data[offsets[k] : offsets[k + 1]].tobytes().decode()
+            if _GAP.search(text) or self.special and self.special.search(text):
+                out[k] = self.whole(text)
+        return out
 
-        def encode(text: str) -> bytes:
-            if _GAP.search(text):
-                return pack(text)
-            first, *rest = text.split(" ")
-            return pack(first) + b"".join([pieces[p] for p in rest])
+    def _with_added(self, data: np.ndarray, offsets: np.ndarray) -> list[int]:
+        """Texts that may hold the string of an added token."""
+        found = []
+        for token in self.added:
+            token = np.frombuffer(token.encode(), np.uint8)
+            head = np.flatnonzero((data[: len(data) - 1] == token[0]) & (data[1:] == token[1])) if len(token) > 1 and len(data) > 1 else np.flatnonzero(data == token[0])
+            found += (np.unique(np.searchsorted(offsets, head, "right")) - 1).tolist()
+        return found
 
-        kept[path] = encode
+
+def encoder(path: str) -> Encoder:
+    """The encoder of a vocabulary. It is kept for the life of the Python worker."""
+    kept = sys.__dict__.setdefault("_signaloom_encoders", {})  # functions travel by value: their own globals do not outlive a task
+    if path not in kept:
+        kept[path] = Encoder(path)
     return kept[path]
