@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: A word is a run of characters other than space, tab, line feed, vertical tab, form feed and carriage return.
 SPACE = r"\x20\x09-\x0D"
 
+#: Rows up to which a table of a few numbers a row is broadcast.
+BROADCAST = 1 << 20
+
 _own: dict[str, str] = {}
 
 
@@ -52,6 +55,22 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """rows with a number `rid` each, written to the shared folder. Numbers depend on how a scan is split, which changes with the executors at hand; only those written once hold for every later reading."""
+    return scratch(rows.withColumn("rid", F.monotonically_increasing_id()), name)
+
+
+def renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns c0, c1, ..., whose names clash with nothing, and the new name of each old one."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), dict(zip(docs.columns, names))
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast where it has at most BROADCAST rows. df must be a table of a few numbers a row; beyond that bound the join is a plain one."""
+    return F.broadcast(df) if df.limit(BROADCAST + 1).count() <= BROADCAST else df
+
+
 def word_count(text) -> F.Column:
     """Number of words of a text, in one pass and without an array of them; null counts 0."""
     marks = F.regexp_replace(text, f"[{SPACE}]*+[^{SPACE}]++[{SPACE}]*+", "x")

@@ -9,7 +9,7 @@ strips being a task of its own. Vectors join the rows that are left. Each task v
 bucket where the two meet, so it returns a row per vector (root, links), never the pairs.
 
 Defined results. Null vectors, empty ones, zero ones, ones with null or non-finite components, and ones whose label is null: no links, a component of their own. Vectors of different lengths do not link. Null ids: a
-component's id is its smallest id that is not null. Repeated rows link with each other. Empty table: no rows. Other columns, of any name, are ignored. vectors must be a scan of files.
+component's id is its smallest id that is not null. Repeated rows link with each other. Empty table: no rows. Other columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import numbered, scratch
 from .components import components
 
 ROWS, PACK = 1_024, 16_384
@@ -171,12 +171,12 @@ def _verify(least: float, scheme):
 def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id (smallest id reachable by links), kept for every row of vectors."""
     v = F.col("embedding")
-    rows = vectors.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("embedding"))
+    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("embedding"))
     broken = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = F.col("label").isNotNull() & v.isNotNull() & (F.size(v) > 0) & ~broken & F.exists(v, lambda x: x != 0)
-    rows = rows.withColumn("good", F.coalesce(good, F.lit(False)))
+    rows = numbered(rows.withColumn("good", F.coalesce(good, F.lit(False))), "vector-rows")
     twin = [F.concat_ws(":", F.size(v), "label").alias("grp"), F.xxhash64(v, F.lit(1)).alias("h1"), F.xxhash64(F.lit(2), v).alias("h2")]
-    facts = scratch(rows.select("rid", "vec_id", "good", *twin), "vector-facts")
+    facts = rows.select("rid", "vec_id", "good", *twin)
     classes = facts.filter("good").groupBy("grp", "h1", "h2").agg(F.min("rid").alias("rep"), F.count("*").alias("copies"))
     classes = scratch(classes.filter("copies > 1").withColumn("good", F.lit(True)), "vector-classes")  # a table, so that adaptive execution can split the join's hot partitions
     members = scratch(facts.join(classes, ["good", "grp", "h1", "h2"], "left").select("rid", "vec_id", "grp", F.when(F.col("good"), F.coalesce("rep", "rid")).alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies")), "vector-members")

@@ -12,7 +12,7 @@ of rare n-grams are counted pair by pair, those of frequent ones by dense produc
 discarded. Each task returns a row per document: its root inside the task and the rows that it links with, never the pairs.
 
 Defined results. Null, empty or blank text: 0 shingles, linked with nothing. Null ids: a component's id is its smallest id that is not null. Repeated rows: each counts. Empty table: no rows. Other
-columns, of any name, are ignored. Shingles are compared as 64-bit hashes. docs must be a scan of files, whose row numbers hold from one reading to the next.
+columns, of any name, are ignored. Shingles are compared as 64-bit hashes. Rows are numbered and written once; all later steps read that table, so numbers hold whatever becomes of executors.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import few, numbered, renamed, scratch
 from .components import components
 from .shingles import U, mix, shingle_sets
 
@@ -257,12 +257,11 @@ def _band_of(num: int, den: int):
     return run
 
 
-def jaccard_groups(docs: DataFrame, k: int, threshold: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: rid, doc_id, n_shingles, root (the smallest rid of its component), n_links. threshold: a fraction such as "90/100"."""
+def jaccard_groups(rows: DataFrame, k: int, threshold: str, id_col: str, text_col: str) -> DataFrame:
+    """One row per row of a numbered table: rid, doc_id, n_shingles, root (the smallest rid of its component), n_links. threshold: a fraction such as "90/100"."""
     share = Fraction(threshold)
     num, den = share.numerator, share.denominator
-    spark = docs.sparkSession
-    texts = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    texts = rows.select("rid", F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = texts.schema["doc_id"].dataType.simpleString()
     made = scratch(texts.mapInArrow(_facts(k), f"rid long, doc_id {id_type}, n long, d1 long, d2 long"), "ngram-facts")
     facts = made.filter("rid >= 0")
@@ -300,17 +299,21 @@ def jaccard_groups(docs: DataFrame, k: int, threshold: str, id_col: str = "doc_i
 
 def ngram_jaccard_join(docs: DataFrame, k: int = 5, threshold: str = "80/100", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links), n_links (other rows linked directly) for every row of docs."""
-    groups = scratch(jaccard_groups(docs, k, threshold, id_col, text_col), "ngram-groups")
+    rows = numbered(docs.select(F.col(id_col).alias("c0"), F.col(text_col).alias("c1")), "ngram-rows")
+    groups = scratch(jaccard_groups(rows, k, threshold, "c0", "c1"), "ngram-groups")
     names = groups.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
     return groups.join(scratch(names, "ngram-names"), "root", "left").select("doc_id", "n_shingles", F.when(F.col("component_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "n_links")
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, threshold: str = "80/100", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all columns: of each component the row with the smallest id."""
-    rid = "__ngram_rid__"
-    groups = jaccard_groups(docs, k, threshold, id_col, text_col)
-    stay = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("first")).select(F.col("first.rid").alias(rid))
-    return docs.withColumn(rid, F.monotonically_increasing_id()).join(stay, rid, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    held, name = renamed(docs)
+    rows = numbered(held, "ngram-rows")
+    groups = scratch(jaccard_groups(rows, k, threshold, name[id_col], name[text_col]).select("rid", "doc_id", "root"), "ngram-groups")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")
+    stay = scratch(groups.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("rows")).filter("rows > 1").select("root", F.col("first.rid").alias("first")), "ngram-stay")
+    gone = scratch(groups.join(stay, "root").filter("rid <> first").select("rid"), "ngram-gone")
+    return rows.join(few(gone), "rid", "left_anti").select(*held.columns).toDF(*docs.columns)
 
 
 ORACLE_SQL = None  # components are iterative; tested against brute force

@@ -3,10 +3,10 @@
 Writer. Every task writes one archive of gzip members, a record each, under a name of its own in the shared folder; only the names that finished tasks return are read, so
 an attempt that was lost leaves nothing that counts. Of records with equal payloads of at least LEAST bytes the first is a response, the others are revisits (profile identical-payload-digest) without the payload.
 
-Reader. An archive is cut into byte ranges, a task each. A task looks for the gzip magic from the start of its range; a candidate counts when it decodes to a WARC
-header and is followed by another member or the end of the file. From there records follow each other; the task owns those that start inside its range and reads past its end to finish the last.
+Reader. Archives are cut into byte ranges. A task looks for the gzip magic from the start of its range; a candidate counts when it decodes to a WARC header. From there members follow each other; the
+task owns the records of members that start inside its range and reads past its end to finish the last. Bytes between members (padding) are passed over.
 
-Defined results. Null html: an empty payload. Null ids are written as empty and read as null. Repeated ids and rows: the first by id, then by row, is the response. Empty table: no archive, no rows. Other columns, of any name, are ignored.
+Defined results. Null html: an empty payload. Null ids are written as empty and read as null. Repeated ids and rows: the first by id, then by row, is the response. Several records in one member: each counts. A damaged or cut member: one row of type `damaged`, and the records after it are read. What is no record: nothing. Empty table: no archive, no rows. Other columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -15,12 +15,12 @@ import uuid
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, scratch_path
+from .common import few, numbered, scratch, scratch_path
 
-LEAST, LEVEL, SPLIT, CHUNK = 100, 3, 4 << 20, 1 << 16
+LEAST, LEVEL, SPLIT, CHUNK, RANGES = 100, 3, 8 << 20, 1 << 16, 16
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORDS = "path string, offset long, type string, record_id string, refers_to string, uri string, digest string, http string, payload binary"
@@ -62,22 +62,19 @@ def _writer(path: str, date: str):
     return run
 
 
-def write_warc(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> list[tuple[str, int]]:
-    """Writes pages (a scan of files) and returns the archives with their sizes."""
-    html = F.coalesce(F.col(html_col), F.lit(""))
-    rows = pages.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("page_id"), F.col(url_col).alias("uri"), html.alias("html"))
-    facts = rows.select("rid", "page_id", F.octet_length("html").alias("bytes"), F.sha2(F.encode("html", "UTF-8"), 256).alias("digest"))
-    facts = scratch(facts, "warc-facts")
+def write_warc(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Writes pages and returns a table of the archives: path, size, records."""
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("uri"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    rows = numbered(rows.withColumn("bytes", F.octet_length("html")).withColumn("digest", F.sha2(F.encode("html", "UTF-8"), 256)), "warc-rows")
     named = lambda page, rid: F.concat(F.lit("urn:signaloom:page:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(":"), rid.cast("string"))
-    firsts = facts.filter(F.col("bytes") >= LEAST).groupBy("digest", "bytes").agg(F.count("*").alias("n"), F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "rid")).alias("first")).filter("n > 1")
-    facts = facts.join(firsts, ["digest", "bytes"], "left")
-    again = F.col("first").isNotNull() & (F.col("first.rid") != F.col("rid"))
-    plan = facts.select(
-        "rid", "bytes", "digest", F.when(again, "revisit").otherwise("response").alias("type"), named(F.col("page_id"), F.col("rid")).alias("record_id"), F.when(again, named(F.col("first.page_id"), F.col("first.rid"))).alias("refers_to")
-    )
-    full = rows.select("rid", "uri", "html").join(plan, "rid").withColumn("html", F.when(F.col("type") == "response", F.col("html")))
-    done = scratch(full.mapInArrow(_writer(path, date), "path string, size long, records long"), "warc-archives")
-    return sorted((r.path, r.size) for r in done.collect())
+    facts, order = rows.select("rid", "page_id", "bytes", "digest"), F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "rid")
+    firsts = facts.filter(F.col("bytes") >= LEAST).groupBy("digest", "bytes").agg(F.count("*").alias("n"), F.min(order).alias("first")).filter("n > 1")
+    # The groups are written before facts join them: both sides are then plain exchanges, whose hot partitions adaptive execution can split.
+    again = facts.join(scratch(firsts, "warc-firsts"), ["digest", "bytes"]).filter(F.col("first.rid") != F.col("rid"))
+    again = scratch(again.select("rid", named(F.col("first.page_id"), F.col("first.rid")).alias("refers_to")), "warc-again")
+    full = rows.join(few(again), "rid", "left").withColumn("type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
+    full = full.select("type", named(F.col("page_id"), F.col("rid")).alias("record_id"), "uri", "digest", "bytes", F.when(F.col("type") == "response", F.col("html")).alias("html"), "refers_to")
+    return scratch(full.mapInArrow(_writer(path, date), "path string, size long, records long"), "warc-archives")
 
 
 class _Range:
@@ -94,14 +91,11 @@ class _Range:
 
 
 def _is_member(data: _Range, at: int) -> bool:
-    """Whether a record starts here: it decodes to a WARC header, and what follows it is a member or the end."""
+    """Whether a member whose content begins like a record starts here."""
     try:
-        if not zlib.decompressobj(31).decompress(data.bytes(at, 1024), 16).startswith(b"WARC/"):
-            return False
-        end = at + _decode(data, at, keep=False)[1]
+        return zlib.decompressobj(31).decompress(data.bytes(at, 1024), 16).startswith(b"WARC/")
     except zlib.error:
         return False
-    return end == data.size or data.bytes(end, 3) == MAGIC
 
 
 def _decode(data: _Range, at: int, keep: bool = True) -> tuple[bytes, int]:
@@ -118,25 +112,30 @@ def _decode(data: _Range, at: int, keep: bool = True) -> tuple[bytes, int]:
     return b"".join(parts), pos - len(unpack.unused_data) - at
 
 
-def _parse(block: bytes) -> dict:
+def _parse(block: bytes) -> tuple[dict, bytes]:
+    """A record's fields, and what follows it in the member."""
     head, _, rest = block.partition(b"\r\n\r\n")
     lines = [x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:]]
     fields = {k.strip().lower(): v.strip() for k, _, v in lines}
-    body = rest[: int(fields.get("content-length", len(rest)))]
-    http, gap, payload = body.partition(b"\r\n\r\n")
+    size = fields.get("content-length", "")
+    size = int(size) if size.isdecimal() else len(rest)
+    http, gap, payload = rest[:size].partition(b"\r\n\r\n")
     strip = lambda x: x.strip("<>") if x else None
     return {
         "type": fields.get("warc-type"), "record_id": strip(fields.get("warc-record-id")), "refers_to": strip(fields.get("warc-refers-to")), "uri": fields.get("warc-target-uri"),
-        "digest": fields.get("warc-payload-digest"), "http": http.decode("utf-8", "replace") if gap else "", "payload": payload if gap else body,
-    }
+        "digest": fields.get("warc-payload-digest"), "http": http.decode("utf-8", "replace") if gap else "", "payload": payload if gap else rest[:size],
+    }, rest[size:].lstrip(b"\r\n")
+
+
+DAMAGED = {"type": "damaged", "record_id": None, "refers_to": None, "uri": None, "digest": None, "http": "", "payload": b""}
 
 
 def records_in(file, size: int, start: int, end: int):
-    """(offset, fields) of the records that start in [start, end)."""
+    """(offset, fields) of the records whose members start in [start, end). A member that begins like a record and cannot be decoded to its end gives one of type `damaged`; the search for members goes on after its first byte."""
     data, at = _Range(file, size), start
     sure = start == 0
     while at < min(end, size):
-        if not sure:
+        if not sure or data.bytes(at, 3) != MAGIC:
             held = data.bytes(at, min(4 * CHUNK, size - at))
             k = held.find(MAGIC)
             if k < 0:
@@ -147,12 +146,21 @@ def records_in(file, size: int, start: int, end: int):
                 return
             if not _is_member(data, at):
                 at += 1
+                sure = False
                 continue
-        block, length = _decode(data, at)
-        if block.startswith(b"WARC/"):
-            yield at, _parse(block)
+        try:
+            block, length = _decode(data, at)
+        except zlib.error:
+            if _is_member(data, at):
+                yield at, dict(DAMAGED)
+            at += 1
+            sure = False
+            continue
+        while block.startswith(b"WARC/"):
+            fields, block = _parse(block)
+            yield at, fields
         at += length
-        sure = data.bytes(at, 3) == MAGIC if at < size else True
+        sure = True
 
 
 def _reader(batches):
@@ -175,18 +183,22 @@ def _reader(batches):
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
 
-def read_warc(spark: SparkSession, archives: list[tuple[str, int]], split: int = SPLIT) -> DataFrame:
-    """The records of archives (path, size): path, offset, type, record_id, refers_to, uri, digest, http, payload."""
-    ranges = [(path, size, at, min(at + split, size)) for path, size in archives for at in range(0, size, split)]
-    df = spark.createDataFrame(ranges, "path string, size long, start long, end long")
-    return df.repartition(max(1, len(ranges))).mapInArrow(_reader, RECORDS)
+def read_warc(archives: DataFrame, split: int = SPLIT) -> DataFrame:
+    """The records of archives (path, size): path, offset, type, record_id, refers_to, uri, digest, http, payload.
+
+    Tasks cut the archives into ranges; the driver holds their number only. A task reads several ranges where there are more than RANGES times as many as shuffle partitions.
+    """
+    n = archives.agg(F.sum(F.ceil(F.col("size") / split))).first()[0] or 0
+    tasks = max(1, min(n, max(int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // RANGES)))
+    ranges = archives.select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split).cast("long"))).alias("start"))
+    ranges = ranges.withColumn("end", F.least(F.col("start") + split, "size"))
+    return ranges.repartition(int(tasks), "path", "start").mapInArrow(_reader, RECORDS)
 
 
 def round_trip(pages: DataFrame, split: int = SPLIT) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, as read back from the archives."""
-    spark = pages.sparkSession
     id_type = pages.schema["page_id"].dataType
-    back = read_warc(spark, write_warc(pages, scratch_path(spark, "warc")), split)
+    back = read_warc(write_warc(pages, scratch_path(pages.sparkSession, "warc")), split)
     page = lambda c: F.nullif(F.regexp_extract(c, r"page:(.*):\d+$", 1), F.lit("")).cast(id_type)
     whole = F.col("type") == "response"
     return back.select(
