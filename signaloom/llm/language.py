@@ -5,7 +5,7 @@ blank) learns which side a text is on: naive Bayes weights, averaged over the te
 the training texts. Decoding takes the language whose codeword has the least logistic loss, each bit weighted by how well its classifier did for that language in training; a small gap to the
 second is flagged as ambiguous.
 
-Training. The sample is bounded: about PER_LANGUAGE texts of each language, chosen by a hash of the id, none over LONGEST characters; it is read by the driver. Prediction covers whole texts, as numpy operations on
+Training. The sample is bounded: about PER_LANGUAGE texts of each language, fewer where that makes more than IN_ALL, chosen by a hash of the id, none over LONGEST characters; it is read by the driver. Prediction covers whole texts, as numpy operations on
 the Arrow buffers, without a shuffle.
 
 Defined results. Null text, or no letter: `und`, score 0, not ambiguous. Nothing to learn from: `und`. One language: that one. Null ids: not learnt from, not held out. Repeated rows: a row each. Empty table: no rows. Other columns, of
@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from .shingles import buffers
 
-ORDERS, BITS, PER_LANGUAGE, LONGEST, CLOSE, CHUNK = (2, 3), 16, 800, 20_000, 0.1, 1 << 18
+ORDERS, BITS, PER_LANGUAGE, IN_ALL, LONGEST, CLOSE, CHUNK = (2, 3), 16, 800, 12_800, 20_000, 0.1, 1 << 18
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = _FOLD[65:91] = np.arange(97, 123)
@@ -153,9 +153,11 @@ def _held_out(id_col):
 def fit(docs: DataFrame, learn, id_col="doc_id", text_col="text", lang_col="lang", per_language: int = PER_LANGUAGE) -> Model:
     """A model from rows where `learn` holds."""
     rows = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    share = {r["lang"]: min(1.0, 1.2 * per_language / r["count"]) for r in rows.groupBy("lang").count().collect()}  # one row per language
-    if not share:
+    counts = rows.groupBy("lang").count().collect()  # one row per language
+    if not counts:
         return Model([], [])
+    per_language = max(1, min(per_language, IN_ALL // len(counts)))
+    share = {r["lang"]: min(1.0, 1.2 * per_language / r["count"]) for r in counts}
     part = F.element_at(F.create_map(*[F.lit(x) for pair in share.items() for x in pair]), F.col("lang"))
     drawn = rows.filter((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part * 1_000_000) & (F.length("text") <= LONGEST) & F.col("text").rlike(r"\p{L}"))
     found = drawn.orderBy(F.xxhash64("doc_id"), "text").limit(2 * per_language * len(share)).collect()
@@ -195,8 +197,10 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs whose language is identified without ambiguity, with all columns."""
+    """The rows of docs whose language is identified without ambiguity, with all columns. Where there is nothing to learn from, nothing can be told and all rows stay."""
     model = fit(docs, ~_held_out(F.col(id_col)), id_col, text_col, lang_col)
+    if not model.languages:
+        return docs
     names = [f"__c{i}__" for i in range(len(docs.columns))]
     marked = _with_prediction(docs.toDF(*names), model, names[docs.columns.index(text_col)])
     return marked.filter("lang_pred <> 'und' and not ambiguous").select(*names).toDF(*docs.columns)
