@@ -1,11 +1,14 @@
-"""Toxicity: embeddings of a word's character n-grams are averaged and go into a linear softmax; a text is as toxic as its most toxic word.
+"""Toxicity: subword-bag embeddings averaged into a linear softmax.
 
-Embeddings and softmax are trained jointly in numpy. Only texts carry labels, so training alternates: the word of a toxic text that scores highest counts as toxic, words of clean texts as
-clean, the hardest of them again. A misspelling that was never seen shares n-gram vectors with the word it stands for. The score of a text's highest word is mapped to a probability by a logistic fit on
-texts that training left out.
+A word's vector is the mean of the embeddings of its character n-grams; a window's vector adds up the vectors of consecutive words (a mean, but for a constant), and goes into a linear softmax. There are two
+such bags, by SPANS: single words, and windows of five. A text has its most toxic word and its most toxic window: so a few words count in a text of any length, and a phrase of ordinary words counts as their
+sum. (One bag of the whole text loses a few words among thousands; README.md has the figures.) Embeddings and softmax are trained jointly in numpy. Only texts carry labels, so training alternates: the window of a toxic text that scores highest counts as toxic, the highest windows of clean texts and some others as clean. The share DOUBTED of toxic
+texts that score lowest is left out of later epochs, as labels may be wrong. A misspelling that was never seen shares n-gram vectors with the word it stands for. The two highest scores are mapped
+to a probability by a logistic fit on texts that training left out.
 
-Training. The sample is bounded: at most TOXIC toxic and CLEAN clean texts by a hash of the id, none over LONGEST characters; the driver reads it. Scoring covers whole texts: as a mean is linear, each n-gram has one number, and
-numpy sums them on the Arrow buffers. No shuffle but the join of the labels for training.
+Training. The sample is bounded: at most TOXIC toxic and CLEAN clean texts by a hash of the id, none over LONGEST characters; the driver reads it. Their ids are drawn from the labels first, so one scan of
+the documents finds the texts. Scoring covers whole texts: as means are linear, each n-gram has one number, and numpy sums them on the Arrow buffers; a text of over CHUNK bytes is read in regions, whose
+longer windows look AHEAD bytes past their end.
 
 Defined results. Null, empty or blank text: the score of no word, below 0.3 unless all labels are toxic. Null ids: not learnt from, not held out. Labels that are null: not learnt from. Nothing to learn from, or one
 class only: that class's score (0 or 1). Repeated rows: a row each. Empty table: no rows. Other columns, of any name, are ignored.
@@ -13,6 +16,8 @@ class only: that class's score (0 or 1). Repeated rows: a row each. Empty table:
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +26,7 @@ from pyspark.sql import functions as F
 from .shingles import buffers
 
 ORDERS, BITS, DIM, TOXIC, CLEAN, LONGEST, CHUNK = (3, 4, 5), 17, 8, 2_500, 3_500, 20_000, 1 << 18
-EPOCHS, RATE, THRESHOLD, FLOOR = 12, 0.5, 0.3, -8.0
+EPOCHS, RATE, THRESHOLD, FLOOR, SPANS, DOUBTED, AHEAD, RARE = 12, 0.5, 0.3, -8.0, (1, 5), 0.05, 2_048, 8
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[48:58] = np.arange(48, 58)
@@ -54,16 +59,23 @@ def features(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def word_scores(data: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where words begin and the mean number of each word's n-grams; a word without any gets FLOOR."""
+    """Where words begin, and for each bag the mean number of each word's n-grams. Every word has some: those with the blanks beside it."""
     gram, word, begins = features(data)
-    n = np.bincount(word, minlength=len(begins))
-    total = np.bincount(word, number[gram], len(begins))
-    return begins, np.where(n > 0, total / np.maximum(n, 1), FLOOR)
+    n = np.maximum(np.bincount(word, minlength=len(begins)), 1)
+    return begins, np.stack([np.bincount(word, own[gram], len(begins)) / n for own in number], 1)
+
+
+def window_sums(score: np.ndarray, stop: np.ndarray, span: int) -> np.ndarray:
+    """For the window that begins at each word: the sum of the scores of its words up to `stop`."""
+    if span == 1:
+        return score
+    total = np.append(0.0, np.cumsum(score))
+    return total[np.minimum(np.arange(len(score)) + span, stop)] - total[:-1]
 
 
 def text_scores(data: np.ndarray, offsets: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """The highest word score of each text, FLOOR for none. Regions of about CHUNK bytes end where a text does or after a blank."""
-    out = np.full(len(offsets) - 1, FLOOR)
+    """The highest window score of each text for each bag, FLOOR for none. Regions of about CHUNK bytes end where a text does or after a blank."""
+    out = np.full((len(offsets) - 1, len(number)), FLOOR)
     at, n = 0, len(data)
     while at < n:
         end = min(n, at + CHUNK)
@@ -75,16 +87,24 @@ def text_scores(data: np.ndarray, offsets: np.ndarray, number: np.ndarray) -> np
                 end = best
                 break
             end = min(n, end + CHUNK)
-        cuts = np.unique(np.clip(offsets, at, end))
+        after = int(offsets[np.searchsorted(offsets, end, "left")])  # the end of the text that the region ends in
+        reach = min(after, end + AHEAD)
+        cuts = np.unique(np.clip(offsets, at, reach))
         # A blank goes between texts, so that no word spans two.
-        parts = np.insert(data[at:end], cuts[1:-1] - at, 32) if len(cuts) > 2 else data[at:end]
+        parts = np.insert(data[at:reach], cuts[1:-1] - at, 32) if len(cuts) > 2 else data[at:reach]
         begins, score = word_scores(parts, number)
         if len(begins):
             inside = np.flatnonzero((offsets[:-1] < end) & (offsets[1:] > at))
             shift = np.searchsorted(cuts[1:-1], np.maximum(offsets[inside], at), "right")
             starts = np.maximum(offsets[inside], at) - at + shift
             owner = np.searchsorted(starts, begins, "right") - 1
-            np.maximum.at(out, inside[owner], score)
+            stop = np.searchsorted(owner, owner, "right")
+            mine = np.flatnonzero(begins < end - at + np.searchsorted(cuts[1:-1], end, "right"))
+            first = np.flatnonzero(np.append(True, owner[mine][1:] != owner[mine][:-1])) if len(mine) else mine
+            for k, span in enumerate(SPANS[: len(number)]):
+                best = np.maximum.reduceat(window_sums(score[:, k], stop, span)[mine], first) if len(mine) else np.zeros(0)
+                at_text = inside[owner[mine[first]]]
+                out[at_text, k] = np.maximum(out[at_text, k], best)
         at = end
     return out
 
@@ -95,12 +115,13 @@ def _softmax(x):
 
 
 class Model:
-    """number: a weight per n-gram bucket (its embedding through the softmax); scale and shift map a text's highest word to a probability."""
+    """number: for each bag a weight per n-gram bucket (its embedding through the softmax); scale and shift map a text's highest scores to a probability."""
 
     def __init__(self, texts: list[str], toxic: np.ndarray, prior: float = 0.5, seed: int = 0):
         self.prior = prior
         toxic = np.asarray(toxic, int)
-        self.number, self.scale, self.shift = np.zeros(1 << BITS), 0.0, (-20.0 if not toxic.any() else 20.0)
+        self.number, self.scale, self.shift = np.zeros((len(SPANS), 1 << BITS)), np.zeros(len(SPANS)), (-20.0 if not toxic.any() else 20.0)
+        self.none = self.shift
         if not toxic.any() or toxic.all():
             return
         rng = np.random.default_rng(seed)
@@ -108,65 +129,91 @@ class Model:
         train = np.flatnonzero(~apart) if len({*toxic[~apart]}) == 2 and len({*toxic[apart]}) == 2 else np.arange(len(texts))
         kinds, bags = {}, []
         for k in train:
-            words = {w for w in bytes(_FOLD[np.frombuffer((texts[k] or "").encode(), np.uint8)]).split()}
-            bags.append(np.array([kinds.setdefault(w, len(kinds)) for w in sorted(words)], np.int64))
+            words = bytes(_FOLD[np.frombuffer((texts[k] or "").encode(), np.uint8)]).split()
+            bags.append(np.array([kinds.setdefault(w, len(kinds)) for w in words], np.int32))
         gram, word, _ = features(np.frombuffer(b" ".join(kinds), np.uint8))
         order = np.argsort(word, kind="stable")
         gram, word = gram[order], word[order]
         first = np.searchsorted(word, np.arange(len(kinds) + 1))
+        grams = np.maximum(np.diff(first), 1)
         label = toxic[train]
-        owner = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-        held = np.concatenate(bags)
-        bad, all_of = np.bincount(held, label[owner], len(kinds)), np.bincount(held, minlength=len(kinds))
-        share = bad / np.maximum(all_of, 1)
-        embed, out = rng.normal(0, 0.1, (1 << BITS, DIM)), rng.normal(0, 0.1, (DIM, 2))
-        seen = np.full(1 << BITS, 1e-6)
-
-        def step(words, target, rate):
-            nonlocal out
-            n = first[words + 1] - first[words]
-            words, target, n = words[n > 0], target[n > 0], n[n > 0]
-            if not len(words):
-                return
-            row = np.repeat(np.arange(len(words)), n)
-            g = gram[np.arange(n.sum()) + np.repeat(first[words] - np.append(0, np.cumsum(n)[:-1]), n)]
-            hidden = np.add.reduceat(embed[g], np.append(0, np.cumsum(n)[:-1]), axis=0) / n[:, None]
-            delta = _softmax(hidden @ out) - np.stack([1 - target, target], 1)
-            back = (delta @ out.T)[row] / n[row][:, None]
-            ids, inverse = np.unique(g, return_inverse=True)
-            grad = np.stack([np.bincount(inverse, back[:, d], len(ids)) for d in range(DIM)], 1)
-            seen[ids] += (grad**2).mean(1)
-            embed[ids] -= rate * grad / np.sqrt(seen[ids])[:, None]
-            out -= rate * hidden.T @ delta / len(words)
-
-        for epoch in range(EPOCHS):
-            number = embed @ (out[:, 1] - out[:, 0])
-            score = np.bincount(word, number[gram], len(kinds)) / np.maximum(np.diff(first), 1)
-            if epoch == 0:
-                score = share + 1e-3 * all_of * (share >= 0.999)  # words that only toxic texts hold, the frequent ones first
-            top = np.array([b[np.argmax(score[b])] if len(b) else -1 for b in bags])
-            positive = top[(label == 1) & (top >= 0)]
-            clean = [b for b, y in zip(bags, label) if not y and len(b)]
-            hard = np.concatenate([b[np.argsort(-score[b])[:3]] for b in clean]) if clean else np.zeros(0, np.int64)
-            easy = np.concatenate([rng.choice(b, min(len(b), 12), replace=False) for b in clean]) if clean else hard
-            words = np.concatenate([np.repeat(positive, 3), hard, easy])
-            target = np.concatenate([np.ones(3 * len(positive)), np.zeros(len(hard) + len(easy))])
-            shuffled = rng.permutation(len(words))
-            for at in range(0, len(words), 512):
-                step(words[shuffled[at : at + 512]], target[shuffled[at : at + 512]], RATE / (1 + epoch))
-        self.number = embed @ (out[:, 1] - out[:, 0])
+        sequence = np.concatenate(bags)
+        ends = np.cumsum([len(b) for b in bags])
+        begins, size = ends - [len(b) for b in bags], np.array([len(b) for b in bags])
+        stop = np.repeat(ends, size)
+        bad, all_of = np.zeros(1 << BITS), np.zeros(1 << BITS)
+        for bag, toxic_one in zip(bags, label):
+            ids = np.unique(bag)
+            n = first[ids + 1] - first[ids]
+            found = np.unique(gram[np.arange(n.sum()) + np.repeat(first[ids] - np.cumsum(n) + n, n)])
+            all_of[found] += 1
+            bad[found] += toxic_one
+        odds = np.log((bad + 1) / (label.sum() + 2)) - np.log((all_of - bad + 1) / ((1 - label).sum() + 2))
+        odds *= all_of / (all_of + RARE)  # what few texts hold tells little
+        def head(span):
+            """An n-gram's weight: its embedding through the softmax."""
+            embed, out, bias = rng.normal(0, 0.1, (1 << BITS, DIM)), rng.normal(0, 0.1, (DIM, 2)), np.zeros(2)
+            seen = np.full(1 << BITS, 1e-6)
+
+            def step(window, target, rate):
+                nonlocal out, bias
+                place = window[:, None] + np.arange(span)
+                row, column = np.nonzero(place < stop[window][:, None])
+                ids, which = np.unique(sequence[place[row, column]], return_inverse=True)
+                n = first[ids + 1] - first[ids]
+                edge = np.cumsum(n) - n
+                g = gram[np.arange(n.sum()) + np.repeat(first[ids] - edge, n)]
+                vector = np.add.reduceat(embed[g], edge, axis=0) / n[:, None]
+                hidden = np.stack([np.bincount(row, vector[which, d], len(window)) for d in range(DIM)], 1)
+                delta = _softmax(hidden @ out + bias) - np.stack([1 - target, target], 1)
+                back = (delta @ out.T)[row]
+                back = np.stack([np.bincount(which, back[:, d], len(ids)) for d in range(DIM)], 1) / n[:, None]
+                kind, inverse = np.unique(g, return_inverse=True)
+                grad = np.stack([np.bincount(inverse, np.repeat(back[:, d], n), len(kind)) for d in range(DIM)], 1)
+                seen[kind] += (grad**2).mean(1)
+                embed[kind] -= rate * grad / np.sqrt(seen[kind])[:, None]
+                out -= rate * hidden.T @ delta / len(window)
+                bias -= rate * delta.mean(0)
+
+            some = np.flatnonzero(size)
+            clean, guilty = some[label[some] == 0], some[label[some] == 1]
+            for epoch in range(EPOCHS):
+                number = embed @ (out[:, 1] - out[:, 0]) if epoch else odds
+                score = np.bincount(word, number[gram], len(kinds)) / grams
+                window = window_sums(score[sequence], stop, span)
+
+                def top(k, part=0, parts=1):
+                    low, high = begins[k] + size[k] * part // parts, begins[k] + size[k] * (part + 1) // parts
+                    return low + int(np.argmax(window[low:high])) if high > low else int(begins[k])
+
+                positive = np.array([top(k) for k in guilty], np.int64)
+                if epoch >= EPOCHS // 3:
+                    positive = positive[np.argsort(window[positive], kind="stable")[int(DOUBTED * len(positive)) :]]
+                hard = np.array([top(k, part, 3) for k in clean for part in range(3)], np.int64)
+                easy = (begins[clean][:, None] + rng.integers(0, size[clean][:, None], (len(clean), 4))).reshape(-1)
+                windows = np.concatenate([np.repeat(positive, 3), hard, easy])
+                target = np.append(np.ones(3 * len(positive)), np.zeros(len(hard) + len(easy)))
+                shuffled = rng.permutation(len(windows))
+                for at in range(0, len(windows), 512):
+                    step(windows[shuffled[at : at + 512]], target[shuffled[at : at + 512]], RATE / (1 + epoch))
+            return embed @ (out[:, 1] - out[:, 0])
+
+        self.number = np.stack([head(span) for span in SPANS])
         check = np.flatnonzero(apart) if len(train) < len(texts) else train
         x, y = text_scores(*buffers(pa.array([texts[k] or "" for k in check], pa.string())), self.number), toxic[check]
-        x = np.maximum(x, FLOOR)
         w = np.where(y == 1, self.prior / max(1, (y == 1).sum()), (1 - self.prior) / max(1, (y == 0).sum()))  # classes as in the labels, not as sampled
-        a, b = 1.0, 0.0
-        for _ in range(2_000):
-            p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-            a, b = a - 0.5 * (w * (p - y) * x).sum() - 1e-3 * (a - 1), b - 0.5 * (w * (p - y)).sum() - 1e-3 * b
-        self.scale, self.shift = max(float(a), 0.05), float(b)
+        middle, wide = x.mean(0), x.std(0) + 1e-9
+        z, a, b = (x - middle) / wide, np.ones(x.shape[1]), 0.0
+        for _ in range(3_000):
+            p = 1 / (1 + np.exp(-np.clip(z @ a + b, -30, 30)))
+            a, b = np.maximum(0.0, a - 0.5 * (z * (w * (p - y))[:, None]).sum(0) - 1e-4 * a), b - 0.5 * (w * (p - y)).sum()
+        self.scale, self.shift = a / wide, float(b - (a * middle / wide).sum())
+        self.none = float(z.min(0) @ a + b)  # no word: as the least toxic text
 
     def probability(self, data, offsets) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scale * text_scores(data, offsets, self.number) + self.shift, -30, 30)))
+        x = text_scores(data, offsets, self.number)
+        logit = np.where(x[:, 0] == FLOOR, self.none, x @ self.scale + self.shift)
+        return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
 def _held_out(id_col):
@@ -177,15 +224,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
     """A model from labelled rows that are not held out."""
     marks = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~_held_out(F.col(id_col))).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).alias("toxic"))
     some = marks.groupBy("toxic").count().collect()  # one row per class
-    texts, toxic = [], []
+    drawn = []
     for r in some:
         most = TOXIC if r["toxic"] == 1 else CLEAN
         part = min(1.0, 1.3 * most / r["count"])
-        chosen = marks.filter((F.col("toxic") == r["toxic"]) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part * 1_000_000))
-        rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter((F.length("text") <= LONGEST) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part * 1_000_000))
-        found = rows.join(chosen, "doc_id").orderBy(F.xxhash64("doc_id"), "text").limit(most).select("text").collect()
-        texts += [x["text"] for x in found]
-        toxic += [int(r["toxic"] == 1)] * len(found)
+        drawn.append(marks.filter((F.col("toxic") == r["toxic"]) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part * 1_000_000)).orderBy(F.xxhash64("doc_id")).limit(int(1.3 * most) + 1))
+    if not drawn:
+        return Model([], np.zeros(0, int))
+    chosen = F.broadcast(functools.reduce(DataFrame.unionByName, drawn))  # at most 1.3 * (TOXIC + CLEAN) rows of two numbers
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.length("text") <= LONGEST)
+    found = rows.join(chosen, "doc_id").orderBy(F.xxhash64("doc_id"), "text").limit(int(1.3 * (TOXIC + CLEAN)) + 2).collect()
+    texts, toxic = [], []
+    for r in some:
+        own = [x["text"] for x in found if x["toxic"] == r["toxic"]][: TOXIC if r["toxic"] == 1 else CLEAN]
+        texts += own
+        toxic += [int(r["toxic"] == 1)] * len(own)
     share = sum(r["count"] for r in some if r["toxic"] == 1) / max(1, sum(r["count"] for r in some))
     return Model(texts, np.array(toxic, int), prior=min(max(share, 0.01), 0.99))
 
