@@ -316,4 +316,18 @@ def drop_near_copies(docs: DataFrame, k: int = 5, threshold: str = "80/100", id_
     return rows.join(few(gone), "rid", "left_anti").select(*held.columns).toDF(*docs.columns)
 
 
-ORACLE_SQL = None  # components are iterative; tested against brute force
+ORACLE_SQL = r"""
+with recursive t as (select row_number() over () as n, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as materialized (select n, doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+  else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end as grams from t),
+g as materialized (select n, len(grams) as size, unnest(grams) as gram from s),
+shared as (select x.n as a, y.n as b, any_value(x.size) as sa, any_value(y.size) as sb, count(*) as common from g x join g y on x.gram = y.gram and x.n <> y.n
+  and 10 * least(x.size, y.size) >= 9 * greatest(x.size, y.size) group by 1, 2),
+links as materialized (select a, b from shared where 100 * common >= 90 * (sa + sb - common)),
+reach(a, b) as (select n, n from s union select r.a, l.b from reach r join links l on r.b = l.a),
+c as (select r.a, min(s.doc_id) as component_id from reach r join s on r.b = s.n group by r.a),
+k as (select a, count(*) as n_links from links group by a)
+select s.doc_id, cast(len(s.grams) as bigint) as n_shingles, c.component_id, coalesce(k.n_links, 0) as n_links
+from s join c on s.n = c.a left join k on s.n = k.a
+"""  # k = 3, threshold 90/100

@@ -54,4 +54,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_license_scan": license.oracle_sql(), "op4_weighted_fair_mix": mixing.ORACLE_SQL, "op8_exact_dedup": exact_dedup.ORACLE_SQL, "op9_warc_round_trip": warc.ORACLE_SQL}
+    return {"op1_license_scan": license.oracle_sql(), "op4_weighted_fair_mix": mixing.ORACLE_SQL, "op7_cross_polytope_near_dedup": near_embed.ORACLE_SQL, "op8_exact_dedup": exact_dedup.ORACLE_SQL, "op9_warc_round_trip": warc.ORACLE_SQL, "op10_ngram_jaccard_join": ngram_join.ORACLE_SQL}
