@@ -24,6 +24,23 @@ def correlations(maps: DataFrame, templates: DataFrame) -> DataFrame:
     return out.select(*[c for c in maps.columns if c != "v"], F.col("m.k").alias("k"), M.correlation(F.col("v"), F.col("m.t")).alias("corr"), M.gfp(F.col("v")).alias("gfp"))
 
 
+def fitted(maps: DataFrame, templates: DataFrame, least: float | None = None) -> DataFrame:
+    """The best template of each map, as `label` of `correlations` gives it (polarity ignored), found in the map's own row: no shuffle. Templates travel as one literal row, referenced and scaled to norm 1."""
+    rows = templates.orderBy("k").limit(TEMPLATES_MOST + 1).collect()
+    if len(rows) > TEMPLATES_MOST:
+        raise ValueError(f"more than {TEMPLATES_MOST} templates")
+    known = F.array(*[F.struct(F.lit(-r["k"]).alias("k"), F.array(*[F.lit(float(x)) for x in _unit(np.array([r["t"]], float))[0]]).alias("t")) for r in rows])
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)
+    out = maps.withColumn("_u", M.average_reference(F.col("v"))).withColumn("gfp", M.gfp(F.col("v")))
+    out = out.withColumn("_n", F.nullif(F.sqrt(dot(F.col("_u"), F.col("_u"))), F.lit(0.0)))
+    tried = F.transform(known, lambda m: F.struct((dot(F.col("_u"), m["t"]) / F.col("_n")).alias("corr"), m["k"].alias("k")))
+    best = F.array_max(F.transform(tried, lambda m: F.struct(F.round(F.abs(m["corr"]), 9).alias("c"), m["k"].alias("k"), m["corr"].alias("corr"))))
+    out = out.withColumn("_b", best)
+    seg = -F.col("_b.k")
+    kept = [c for c in maps.columns if c != "v"]
+    return out.select(*kept, (F.when(F.col("_b.c") >= least, seg) if least is not None else seg).alias("seg"), F.col("_b.corr").alias("corr"), "gfp")
+
+
 def label(fits: DataFrame, keys=("tf",), polarity: bool = False, least: float | None = None) -> DataFrame:
     """The best template of each map: keys, seg, corr, gfp; the smaller k on a tie; none (null) below the least correlation. One aggregation, no window."""
     c = F.round("corr" if polarity else F.abs("corr"), 9)
@@ -36,13 +53,13 @@ def label(fits: DataFrame, keys=("tf",), polarity: bool = False, least: float |
 def worksheet(labels: DataFrame, order: str = "tf") -> DataFrame:
     """The variables of a fit, one row per template."""
     t = F.col(order)
-    total = labels.agg(F.sum(F.col("gfp") * F.col("gfp")).alias("power"), F.count("*").alias("frames"))
+    all_rows = W.partitionBy()  # over one row per template
     first = lambda *c: F.max(F.struct(*c))
-    out = labels.filter("seg is not null").groupBy("seg").agg(
+    out = labels.groupBy("seg").agg(
         F.min(t).alias("first_onset"), F.max(t).alias("last_offset"), F.count("*").alias("n_tf"), F.avg(F.abs("corr")).alias("mean_corr"), F.sum(F.pow(F.col("gfp") * F.col("corr"), 2)).alias("ev"),
-        (F.sum(t * F.col("gfp")) / F.sum("gfp")).alias("tf_centroid"), first(F.round(F.abs("corr"), 9).alias("c"), (-t).alias("t"), "gfp").alias("bc"), first(F.round("gfp", 9).alias("g"), (-t).alias("t")).alias("bg"), F.avg("gfp").alias("mean_gfp"),
+        (F.sum(t * F.col("gfp")) / F.sum("gfp")).alias("tf_centroid"), first(F.round(F.abs("corr"), 9).alias("c"), (-t).alias("t"), "gfp").alias("bc"), first(F.round("gfp", 9).alias("g"), (-t).alias("t")).alias("bg"), F.avg("gfp").alias("mean_gfp"), F.sum(F.col("gfp") * F.col("gfp")).alias("power"),
     )
-    out = out.crossJoin(total)  # one row
+    out = out.withColumn("power", F.sum("power").over(all_rows)).withColumn("frames", F.sum("n_tf").over(all_rows)).filter("seg is not null")
     return out.select(
         "seg", "first_onset", "last_offset", "n_tf", "mean_corr", (F.col("ev") / F.col("power")).alias("gev"), "tf_centroid", F.col("bc.c").alias("best_corr"), (-F.col("bc.t")).alias("tf_best_corr"),
         F.col("bc.gfp").alias("gfp_best_corr"), F.col("bg.g").alias("max_gfp"), "mean_gfp", (-F.col("bg.t")).alias("tf_max_gfp"), (F.col("n_tf") / F.col("frames")).alias("coverage"),

@@ -78,6 +78,19 @@ def randomised(pairs: DataFrame, keys, first: str, second: str, subject: str, ti
     return means.groupBy(*keys).agg(F.max("real").alias("m"), F.avg(F.when(F.abs(F.round("m", 9)) >= F.col("real"), 1.0).otherwise(0.0)).alias("p"))
 
 
+def randomised_unpaired(df: DataFrame, keys, group: str, value: str, subject: str, times: int) -> DataFrame:
+    """keys, m, p: randomization test of two unpaired groups (a boolean column). In a run the subjects of a key are ordered by the MD5 of subject and run, and the first as many as the first group has are its members.
+    A key's subjects of one run are the unit of work. m: absolute difference of the means; p: share of the runs, the real one included, that reach it. Keys where a group is empty have no row."""
+    runs = df.select(*keys, F.col(subject).alias("_s"), F.col(group).alias("_g"), F.col(value).alias("_v")).withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(times))))
+    own = W.partitionBy(*keys, "run")
+    placed = runs.withColumn("_n", F.sum(F.col("_g").cast("int")).over(own))
+    placed = placed.withColumn("_r", F.row_number().over(own.orderBy(F.md5(F.concat(F.col("_s").cast("string"), F.lit("/"), F.col("run").cast("string"))), "_s")))
+    first = F.when(F.col("run") == 0, F.col("_g")).otherwise(F.col("_r") <= F.col("_n"))
+    means = placed.groupBy(*keys, "run").agg(F.round(F.abs(F.avg(F.when(first, F.col("_v"))) - F.avg(F.when(~first, F.col("_v")))), 9).alias("m"))
+    real = F.max(F.when(F.col("run") == 0, F.col("m"))).over(W.partitionBy(*keys))
+    return means.withColumn("real", real).filter("real is not null").groupBy(*keys).agg(F.max("real").alias("m"), F.avg(F.when(F.col("m") >= F.col("real"), 1.0).otherwise(0.0)).alias("p"))
+
+
 def topographic(maps: DataFrame, group: str, first, second, times: int, seed: int = 1) -> DataFrame:
     """dis, p: dissimilarity of two groups' mean maps (long: subject, group, e, x) against random exchange of subjects between groups, by a hash rank."""
     runs = maps.select("subject", group, "e", "x").withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(times))))

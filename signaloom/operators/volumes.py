@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import components
+
 XYZ = ["x", "y", "z"]
 CROSS = [(0, 0, 0), (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0)]
 SIX = [*CROSS, (0, 0, 1), (0, 0, -1)]
@@ -62,9 +64,18 @@ def gaussian(df, sigma: float = 1.0, offsets=CROSS):
 
 
 def dispersion(df, offsets=CROSS):
-    """sd, cov, snr (mean over sd), range, mad, mean-subtracted and mean-divided value."""
-    m, s, own = F.avg("v"), F.stddev_pop("v"), F.max("own")
-    return neighbourhood(df, offsets, s.alias("sd"), (s / F.nullif(F.abs(m), F.lit(0.0))).alias("cov"), (F.max("v") - F.min("v")).alias("range"), (own - m).alias("less_mean"), (own / F.nullif(m, F.lit(0.0))).alias("over_mean"))
+    """sd, cov, snr (mean over sd), range, low, high, mad (about the median), skewness, excess kurtosis, and the value less the mean, over it, less the median."""
+    near = F.collect_list("v")  # as many as there are offsets
+    out = neighbourhood(df, offsets, near.alias("_a"), F.avg("v").alias("_m"), F.stddev_pop("v").alias("sd"), F.median("v").alias("_d"), F.min("v").alias("low"), F.max("v").alias("high"), F.max("own").alias("_o"))
+    mean, sd, middle, own = F.col("_m"), F.nullif("sd", F.lit(0.0)), F.col("_d"), F.col("_o")
+    power = lambda n: F.aggregate(F.transform("_a", lambda x: F.pow((x - mean) / sd, F.lit(n))), F.lit(0.0), lambda a, b: a + b) / F.size("_a")
+    away = F.array_sort(F.transform("_a", lambda x: F.abs(x - middle)))
+    n = F.size("_a")
+    half = (F.element_at(away, F.floor((n + 1) / 2).cast("int")) + F.element_at(away, F.floor((n + 2) / 2).cast("int"))) / 2
+    return out.select(
+        *XYZ, "sd", (F.col("sd") / F.nullif(F.abs(mean), F.lit(0.0))).alias("cov"), (mean / sd).alias("snr"), (F.col("high") - F.col("low")).alias("range"), "low", "high", half.alias("mad"),
+        power(3).alias("skewness"), (power(4) - 3).alias("kurtosis"), (own - mean).alias("less_mean"), (own / F.nullif(mean, F.lit(0.0))).alias("over_mean"), (own - middle).alias("less_median"),
+    )
 
 
 def laplacian(df, axes=("x", "y")):
@@ -144,29 +155,15 @@ def tissues(masks: list[DataFrame]) -> DataFrame:
     return out.groupBy(*XYZ).agg(F.max("v").alias("v"))
 
 
-def regions(df: DataFrame, offsets=CROSS, rounds: int = 200) -> DataFrame:
-    """x, y, z, region of the set voxels: the smallest voxel number that each reaches. Labels take their neighbourhood's minimum until none changes; every round is checkpointed."""
-    spark = df.sparkSession
-    number = F.col("z") * 1_000_000 + F.col("y") * 1_000 + F.col("x")
-    now = df.filter("v > 0").select(*XYZ, number.cast("double").alias("v"))
-    total = None
-    for _ in range(rounds):
-        now = erode(now, offsets)
-        now = now.checkpoint() if spark.sparkContext.getCheckpointDir() else _written(now)
-        new = now.agg(F.sum("v")).first()[0]
-        if new == total:
-            return now.select(*XYZ, F.col("v").cast("long").alias("region"))
-        total = new
-    raise RuntimeError(f"no fixed point after {rounds} rounds")
-
-
-def _written(df: DataFrame) -> DataFrame:
-    """Sets a checkpoint folder where none is set (local mode) and uses it."""
-    import tempfile
-
-    spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="signaloom-"))
-    return df.checkpoint()
+def regions(df: DataFrame, offsets=CROSS) -> DataFrame:
+    """x, y, z, region of the set voxels: the smallest voxel (z, y, x as a struct, so coordinates of any size) that each reaches. Components of the graph of neighbours, by star contractions: few rounds whatever a region's length."""
+    voxel = F.struct(*[F.col(c).alias(c) for c in ("z", "y", "x")])
+    on = df.filter("v > 0").select(*XYZ)
+    steps = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("a", "b", "c"), o)]) for o in offsets if o > (0, 0, 0)])  # each pair once
+    near = on.withColumn("a", voxel).withColumn("o", F.explode(steps)).select("a", *[(F.col(c) + F.col(f"o.{n}")).alias(c) for c, n in zip(XYZ, "abc")])
+    edges = near.join(on.withColumn("b", voxel), XYZ).select("a", "b")
+    found = components(edges).select(*[F.col(f"node.{c}").alias(c) for c in XYZ], F.col("root").alias("region"))
+    return on.join(found, XYZ, "left").withColumn("region", F.coalesce("region", voxel))
 
 
 def biggest(found: DataFrame, n: int = 1, by=("z",)) -> DataFrame:
@@ -178,6 +175,37 @@ def biggest(found: DataFrame, n: int = 1, by=("z",)) -> DataFrame:
     return found.join(keep, [*by, "region"], "left_semi")
 
 
+def most_compact(found: DataFrame, n: int = 1, least: int = 1) -> DataFrame:
+    """z, region, n, inside: of each slice the n most compact regions of at least `least` voxels; the larger one on a tie, then the first."""
+    from pyspark.sql import Window as W
+
+    order = W.partitionBy("z").orderBy(F.round("inside", 9).desc(), F.col("n").desc(), "region")
+    kept = found.filter(F.col("n") >= least).withColumn("z", F.col("region.z"))
+    return kept.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= n).drop("_r")
+
+
+def histogram(df: DataFrame, low: float, high: float, bins: int, by=("z",)) -> DataFrame:
+    """by, bin, n: counts of values in equal bins; values outside fall into the first or last."""
+    place = F.floor((F.col("v") - low) / ((high - low) / bins))
+    return df.groupBy(*by, F.least(F.lit(bins - 1), F.greatest(F.lit(0), place)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def with_volume(a: DataFrame, b: DataFrame) -> DataFrame:
+    """x, y, z, added, subtracted, multiplied, divided: two volumes voxel by voxel, where both have the voxel."""
+    both = a.select(*XYZ, "v").join(b.select(*XYZ, F.col("v").alias("w")), XYZ)
+    v, w = F.col("v"), F.col("w")
+    return both.select(*XYZ, (v + w).alias("added"), (v - w).alias("subtracted"), (v * w).alias("multiplied"), (v / F.nullif(w, F.lit(0.0))).alias("divided"))
+
+
+def gaussian_by_axis(df: DataFrame, sigmas, offsets=None) -> DataFrame:
+    """Gaussian mean with a width of its own for each axis; over the 3 by 3 neighbours of a slice unless told otherwise."""
+    offsets = offsets or [(a, b, 0) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+    weight = lambda o: math.exp(-sum(x * x / (2 * s * s) for x, s in zip(o, sigmas)))
+    steps = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("abc", o)], F.lit(weight(o)).alias("w"), F.lit(o == (0, 0, 0)).alias("own")) for o in offsets])
+    sent = df.withColumn("o", F.explode(steps)).select(*[(F.col(c) - F.col(f"o.{n}")).alias(c) for c, n in zip(XYZ, "abc")], (F.col("v") * F.col("o.w")).alias("v"), F.col("o.w").alias("w"), F.col("o.own").alias("own"))
+    return sent.groupBy(*XYZ).agg(F.max("own").alias("_own"), (F.sum("v") / F.sum("w")).alias("v")).filter("_own").drop("_own")
+
+
 def compactness(found: DataFrame, offsets=CROSS) -> DataFrame:
     """region, n, inside (share of neighbour places that belong to the region)."""
     full = neighbourhood(found.withColumn("v", F.lit(1.0)), offsets, F.count("*").alias("near"), F.max("own").alias("v"))

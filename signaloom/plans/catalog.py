@@ -13,7 +13,7 @@ def register(name, function, sql=None):
 
 
 def _load():
-    from . import fitting_queries, more_queries, signal_queries, space_queries  # noqa: F401  they register themselves
+    from . import extra_queries, fitting_queries, more_queries, signal_queries, space_queries  # noqa: F401  they register themselves
 
 
 def queries():

@@ -111,12 +111,15 @@ register(
 P = f"with {V.FIT} "
 
 
+REC = 256  # consecutive maps of a recording
+
+
 def _fits(s, d):
     return MS.correlations(V.maps(s, d), V.templates(s, d))
 
 
 def _labels(s, d, least=None):
-    return MS.label(_fits(s, d), least=least).withColumn("rec", F.lit(0))
+    return MS.fitted(V.maps(s, d), V.templates(s, d), least).drop("label").withColumn("rec", F.floor(F.col("tf") / REC))
 
 
 def _named(df, *names):
@@ -149,21 +152,21 @@ register(
     lambda s, d: V.maps(s, d).select("tf", "label").join(_labels(s, d), "tf").groupBy("label").pivot("seg", list(range(10))).agg(F.count("tf")).na.fill(0),
     P + "select e.label, " + ", ".join(f'count(*) filter (where seg = {k}) as "{k}"' for k in range(10)) + " from lab join embeddings e on e.vec_id = lab.tf group by 1",
 )
-_SEGS = "si as (select *, sum(n) over (order by tf) run from (select tf, seg, case when seg is not distinct from lag(seg) over (order by tf) then 0 else 1 end n from lab)), sg as (select run, any_value(seg) seg, min(tf) from_tf, max(tf) to_tf, count(*) n from si group by run)"
+_SEGS = "si as (select *, sum(n) over (partition by rec order by tf) run from (select tf // 256 rec, tf, seg, case when seg is not distinct from lag(seg) over (partition by tf // 256 order by tf) then 0 else 1 end n from lab)), sg as (select rec, run, any_value(seg) seg, min(tf) from_tf, max(tf) to_tf, count(*) n from si group by rec, run)"
 register("fit_mean_duration", lambda s, d: MS.durations(_labels(s, d)).select("seg", "segments", r6("mean_duration").alias("mean_duration")), P + f", {_SEGS} select seg, count(*) segments, round(avg(n), 6) mean_duration from sg group by 1")
 register("fit_density", lambda s, d: MS.durations(_labels(s, d)).select("seg", r6("density").alias("density")), P + f", {_SEGS} select seg, round(count(*) / (select sum(n) from sg), 6) density from sg group by 1")
 for _name, _ahead in (("fit_markov", 1), ("fit_markov_two", 2)):
     register(
         _name,
         lambda s, d, a=_ahead: MS.markov(_labels(s, d), a).select("seg", "next", "n", r6("p").alias("p")),
-        P + f", {_SEGS}, mv as (select seg, lead(seg, {_ahead}) over (order by from_tf) nx from sg) select seg, nx as next, count(*) n, round(count(*) / sum(count(*)) over (partition by seg), 6) p from mv where nx is not null group by 1, 2",
+        P + f", {_SEGS}, mv as (select seg, lead(seg, {_ahead}) over (partition by rec order by from_tf) nx from sg) select seg, nx as next, count(*) n, round(count(*) / sum(count(*)) over (partition by seg), 6) p from mv where nx is not null group by 1, 2",
     )
 register("fit_duration_histogram", lambda s, d: MS.segments(_labels(s, d)).groupBy("seg", F.col("n").alias("frames")).agg(F.count("*").alias("n")), P + f", {_SEGS} select seg, n frames, count(*) n from sg group by 1, 2")
-register("fit_joint_probability", lambda s, d: MS.markov(_labels(s, d)).select("seg", "next", r6(F.col("n") / F.sum("n").over(W.partitionBy())).alias("p")), P + f", {_SEGS}, mv as (select seg, lead(seg) over (order by from_tf) nx from sg) select seg, nx as next, round(count(*) / sum(count(*)) over (), 6) p from mv where nx is not null group by 1, 2")
+register("fit_joint_probability", lambda s, d: MS.markov(_labels(s, d)).select("seg", "next", r6(F.col("n") / F.sum("n").over(W.partitionBy())).alias("p")), P + f", {_SEGS}, mv as (select seg, lead(seg) over (partition by rec order by from_tf) nx from sg) select seg, nx as next, round(count(*) / sum(count(*)) over (), 6) p from mv where nx is not null group by 1, 2")
 register(
     "fit_background_normalized",
-    lambda s, d: _labels(s, d).crossJoin(_labels(s, d).agg(F.percentile("gfp", F.lit(0.5)).alias("bg"))).select("tf", r6(F.col("gfp") / F.col("bg")).alias("gfp")),
-    P + "select tf, round(g / (select median(g) from lab), 6) gfp from lab",
+    lambda s, d: _labels(s, d).withColumn("bg", F.percentile("gfp", F.lit(0.5)).over(W.partitionBy("rec"))).select("tf", r6(F.col("gfp") / F.col("bg")).alias("gfp")),
+    P + "select tf, round(g / median(g) over (partition by tf // 256), 6) gfp from lab",
 )
 register(
     "scan_template",
@@ -177,7 +180,7 @@ register(
     lambda s, d: MS.gfp_peaks(V.maps(s, d).select("label", "tf", M.gfp(F.col("v")).alias("gfp")), ("label",)).select("label", "tf"),
     f"with {V.LONG}, g as (select label, tf, stddev_pop(x) g from maps_long group by 1, 2) select label, tf from (select *, lag(g) over w b, lead(g) over w a from g window w as (partition by label order by tf)) where g > b and g > a",
 )
-register("seg_sequentialize", lambda s, d: MS.sequentialise(_labels(s, d)).select("seq", "from_tf", "to_tf", "seg"), P + f", {_SEGS} select row_number() over (order by from_tf)::int seq, from_tf, to_tf, seg from sg")
+register("seg_sequentialize", lambda s, d: MS.sequentialise(_labels(s, d)).select("seq", "from_tf", "to_tf", "seg"), P + f", {_SEGS} select row_number() over (partition by rec order by from_tf)::int seq, from_tf, to_tf, seg from sg")
 register("seg_reorder", lambda s, d: _labels(s, d).groupBy("seg").agg(F.min("tf").alias("onset")).select("seg", F.row_number().over(W.partitionBy().orderBy("onset")).alias("place")), P + "select seg, row_number() over (order by min(tf))::int place from lab group by 1")
 register(
     "seg_kmeans_one_iteration",
@@ -222,7 +225,7 @@ register("seg_kmeans", lambda s, d: MS.cluster(V.maps(s, d), range(2, 5), 3).wit
 register("seg_taahc", lambda s, d: MS.cluster_taahc(V.maps(s, d), 2, 4))
 register("seg_criteria", lambda s, d: _named(MS.criteria(V.maps(s, d), MS.cluster(V.maps(s, d), range(1, 6), 2))))
 register("seg_metacriterion", lambda s, d: MS.criteria(V.maps(s, d), MS.cluster(V.maps(s, d), range(1, 6), 2)).groupBy("label").agg(F.max_by("k", "meta_criterion").alias("best_k")))
-register("seg_smoothing", lambda s, d: MS.smooth(_labels(s, d), _fits(s, d).withColumn("rec", F.lit(0)), 3, 0.5))
+register("seg_smoothing", lambda s, d: MS.smooth(_labels(s, d), _fits(s, d).withColumn("rec", F.floor(F.col("tf") / REC)), 3, 0.5))
 register("seg_reject_small", lambda s, d: MS.reject_small(_labels(s, d), 2))
 
 
@@ -279,13 +282,13 @@ register("stat_p_output", lambda s, d: _scores(s, d).filter("p > 0").select("s_s
 def _min_duration(s, d):
     from ..operators import markers as MK
 
-    return MK.lasting(_scores(s, d).select(F.lit(0).alias("rec"), F.col("s_suppkey").alias("tf"), "p"), F.col("p") < 0.6, 3, 1_000_000).select("from_tf", "to_tf", "n")
+    return MK.lasting(_scores(s, d).select(F.floor(F.col("s_suppkey") / 100).alias("rec"), F.col("s_suppkey").alias("tf"), "p"), F.col("p") < 0.6, 3, 1_000_000).select("from_tf", "to_tf", "n")
 
 
 register(
     "stat_min_duration",
     _min_duration,
-    f"with {_SCORES}, r as (select *, sum(st) over (order by s_suppkey) run from (select *, case when (p < 0.6) is not distinct from lag(p < 0.6) over (order by s_suppkey) then 0 else 1 end st from sc)) select min(s_suppkey) from_tf, max(s_suppkey) to_tf, count(*) n from r where p < 0.6 group by run having count(*) >= 3",
+    f"with {_SCORES}, r as (select *, sum(st) over (partition by s_suppkey // 100 order by s_suppkey) run from (select *, case when (p < 0.6) is not distinct from lag(p < 0.6) over (partition by s_suppkey // 100 order by s_suppkey) then 0 else 1 end st from sc)) select min(s_suppkey) from_tf, max(s_suppkey) to_tf, count(*) n from r where p < 0.6 group by s_suppkey // 100, run having count(*) >= 3",
 )
 register("stat_missing", lambda s, d: _LI(s, d).groupBy("l_returnflag").agg(F.count(F.nullif("l_discount", F.lit(0.0))).alias("n"), r6(F.avg(F.nullif("l_discount", F.lit(0.0)))).alias("m")), "select l_returnflag, count(nullif(l_discount, 0)) n, round(avg(nullif(l_discount, 0)), 6) m from lineitem group by 1")
 register(
@@ -299,4 +302,4 @@ register(
     f"with {V.SAMPLES} select rec, round(avg(value), 6) mean, max(value) hi, min(value) lo from samples where tf between 5 and 30 group by 1",
 )
 register("stat_csv_layout", lambda s, d: _pairs(s, d).select("l_suppkey", F.expr("stack(2, 'a', a, 'b', b) as (variable, value)")).withColumn("value", r6("value")), f"with {_PAIR} select l_suppkey, 'a' variable, round(a, 6) as value from pr union all select l_suppkey, 'b', round(b, 6) from pr")
-register("stat_correlation", lambda s, d: _pairs(s, d).groupBy("part").agg(r6(F.corr("a", "b")).alias("c")), f"with {_PAIR} select part, round(corr(a, b), 6) c from pr group by 1")
+register("stat_correlation", lambda s, d: _pairs(s, d).groupBy("part").agg(r6(F.corr("a", "b")).alias("c")), f"with {_PAIR} select part, case when not isnan(corr(a, b)) then round(corr(a, b), 6) end c from pr group by 1")  # none for one pair

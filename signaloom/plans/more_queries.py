@@ -30,12 +30,6 @@ register("marker_replace", lambda s, d: K(s, d).withColumn("name", F.replace("na
 register("names_composed", lambda s, d: V.samples(s, d).select("rec", "track").distinct().select(F.concat(F.lit("rec"), F.col("rec").cast("string"), F.lit("."), "track", F.lit(".ep")).alias("file")), f"with {V.SAMPLES} select distinct 'rec' || rec || '.' || track || '.ep' file from samples")
 register("names_distinct", lambda s, d: V.samples(s, d).groupBy("track").agg(F.count_distinct("value").alias("n")), f"with {V.SAMPLES} select track, count(distinct value) n from samples group by 1")
 register("vol_skull_strip", lambda s, d: VO.strip(V.voxels(s, d), 0.0).select("x", "y", "z", r6("v").alias("v")))
-register(
-    "solution_points_ported",
-    lambda s, d: G.nearest(*_ported(s, d), 1, 0.3).select("idx", "near", r6("d").alias("d")),
-)
-
-
 def _ported(s, d):
     """The mean points moved into the space of the first map's points."""
     from .space_queries import _points

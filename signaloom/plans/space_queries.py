@@ -207,8 +207,6 @@ register("vol_tissues_merge", lambda s, d: VO.tissues([_B(s, d), VO.binarise(X(s
 register("vol_bias_field", lambda s, d: VO.bias_field(X(s, d).withColumn("v", F.abs("v"))).select("x", "y", "z", r6("v").alias("v")), VQ + "select x::int x, y::int y, z, round(abs(v) / avg(abs(v)) over (partition by z, x // 4, y // 4), 6) v from vox")
 register("vol_resample", lambda s, d: _vox(VO.resample(X(s, d), 2)), VQ + "select (x // 2)::int x, (y // 2)::int y, z, round(avg(v), 6) v from vox group by 1, 2, 3")
 register("vol_isosurface", lambda s, d: VO.isosurface_area(X(s, d), 0.0).select("z", F.col("faces").cast("long").alias("faces")), _BIN + "select a.z, count(*) faces from vx a join vx b on a.z = b.z and a.v <> b.v and ((b.x = a.x + 1 and b.y = a.y) or (b.y = a.y + 1 and b.x = a.x)) group by 1")
-register("vol_biggest_region", lambda s, d: VO.biggest(VO.regions(_B(s, d))))
-register("vol_compact_region", lambda s, d: VO.compactness(VO.regions(_B(s, d))).select("region", "n", r6("inside").alias("inside")))
 register("vol_thinning", lambda s, d: VO.thin(_B(s, d)))
 
 
@@ -233,16 +231,16 @@ register(
     "with g as (select x::int x, y::int y, z::int z from (select unnest(range(4)) x), (select unnest(range(4)) y), (select unnest(range(4)) z)) select x, y, z, round(0.99 * (x - 2), 6)::double tx, round(0.9688 * (y - 2) + case when z >= 2 then 0.046 else 0.042 end * (z - 2), 6)::double ty, round(-0.0485 * (y - 2) + case when z >= 2 then 0.9189 else 0.839 end * (z - 2), 6)::double tz from g",
 )
 
-# --- points: each map's first 60 components as 20 points ------------------------------------------------------------------------------------------------------------------------
+# --- points: each map's full triples of components as 21 points ------------------------------------------------------------------------------------------------------------------------
 
 
-def _points(s, d, most=60):
+def _points(s, d, most=63):
     long = V.maps_long(s, d).filter(F.col("e") < most)
     pick = lambda k: F.max(F.when(F.col("e") % 3 == k, F.col("x")))
     return long.groupBy(F.col("tf").alias("set_id"), F.floor(F.col("e") / 3).cast("int").alias("idx")).agg(pick(0).alias("x"), pick(1).alias("y"), pick(2).alias("z"))
 
 
-_PTS = f"{V.LONG}, pts as (select tf set_id, (e // 3)::int idx, max(x) filter (where e % 3 = 0) x, max(x) filter (where e % 3 = 1) y, max(x) filter (where e % 3 = 2) z from maps_long where e < 60 group by 1, 2)"
+_PTS = f"{V.LONG}, pts as (select tf set_id, (e // 3)::int idx, max(x) filter (where e % 3 = 0) x, max(x) filter (where e % 3 = 1) y, max(x) filter (where e % 3 = 2) z from maps_long where e < 63 group by 1, 2)"
 _MOVE = [[0, -2, 0, 1], [2, 0, 0, 0], [0, 0, 2, -3], [0, 0, 0, 1]]
 register("geo_transform", lambda s, d: G.transform(_points(s, d), _MOVE).select("set_id", "idx", *[r6(c).alias(c) for c in "xyz"]), f"with {_PTS} select set_id, idx, round(-2 * y + 1, 6) x, round(2 * x, 6) y, round(2 * z - 3, 6) z from pts")
 register("geo_swap", lambda s, d: G.swap(_points(s, d), "x", "z").select("set_id", "idx", *[r6(c).alias(c) for c in "xyz"]), f"with {_PTS} select set_id, idx, round(z, 6) x, round(y, 6) y, round(x, 6) z from pts")
@@ -259,7 +257,7 @@ def _near(s, d):
     return G.nearest(p, t, 2, 0.15).select("idx", "near", r6("d").alias("d"))
 
 
-register("geo_nearest", _near, f"with {_PTS}, t as (select idx, avg(x) x, avg(y) y, avg(z) z from pts group by 1), j as (select p.set_id * 100 + p.idx idx, t.idx near, sqrt((p.x - t.x) ** 2 + (p.y - t.y) ** 2 + (p.z - t.z) ** 2) d from pts p, t) select idx, near, round(d, 6) d from (select *, row_number() over (partition by idx order by round(d, 9), near) n from j where d <= 0.15) where n <= 2")
+register("geo_nearest", _near, f"with {_PTS}, t as (select idx, avg(x) x, avg(y) y, avg(z) z from pts group by 1), j as (select p.set_id * 100 + p.idx idx, t.idx near, sqrt((p.x - t.x) ** 2 + (p.y - t.y) ** 2 + (p.z - t.z) ** 2) d from pts p, t) select idx, near, round(d, 6) d from (select *, row_number() over (partition by idx order by round(d, 9), near) n from j) where n <= 2")
 register("geo_template_electrodes", lambda s, d: G.template(_points(s, d)).select("idx", *[r6(c).alias(c) for c in "xyz"]))
 register("geo_downsample", lambda s, d: G.thin_out(_points(s, d), 6).select("set_id", "idx"))
 _LAND = G.from_landmarks((2, 0, 0), (0, 2, 0), (0, 0, 2), (0, -2, 0), (-2, 0, 0))

@@ -183,3 +183,50 @@ def test_ica_separates():
     x = s @ np.random.default_rng(1).normal(size=(3, 5))
     u = (x - x.mean(0)) @ SS.independent(x, 3).T
     assert (np.abs(np.corrcoef(u.T, s.T)[:3, 3:]).max(1) > 0.95).all()
+
+
+def test_regions_of_any_coordinates_and_length(spark):
+    """Far voxels keep regions of their own; a snake of 1,000 steps is one region."""
+    from signaloom.operators import volumes as VO
+
+    far = spark.createDataFrame([(1000, 0, 0, 1.0), (0, 1, 0, 1.0), (2**40, 7, -3, 1.0)], "x long, y long, z long, v double")
+    assert len({r.region for r in VO.regions(far).collect()}) == 3
+    snake, x, y = [], 0, 0
+    for k in range(1_000):
+        snake.append((x, y, 0, 1.0))
+        x, y = (x, y + 1) if k % 100 in (98, 99) else (x + (1 if k // 100 % 2 == 0 else -1), y)
+    found = VO.regions(spark.createDataFrame([*snake, (0, -5, 0, 1.0), (500, 0, 0, 0.0)], "x int, y int, z int, v double")).collect()
+    assert len(found) == len(set(snake)) + 1 and len({r.region for r in found}) == 2
+    assert VO.regions(far.limit(0)).collect() == []
+
+
+def test_nearest_reaches_as_far_as_needed(spark):
+    from signaloom.operators import geometry as G
+
+    rng = np.random.default_rng(0)
+    p, t = rng.normal(0, 40, (30, 3)), rng.normal(0, 3, (12, 3))
+    points = spark.createDataFrame([(k, *map(float, x)) for k, x in enumerate(p)] + [(99, None, 1.0, 1.0)], "idx int, x double, y double, z double")
+    targets = spark.createDataFrame([(k, *map(float, x)) for k, x in enumerate(t)], "idx int, x double, y double, z double")
+    got = {(r.idx, r.near) for r in G.nearest(points, targets, 3, 0.5).collect()}
+    assert got == {(i, int(j)) for i, x in enumerate(p) for j in np.argsort(np.linalg.norm(t - x, axis=1))[:3]}
+    assert len(G.nearest(points, targets.limit(2), 3, 0.5).collect()) == 60 and G.nearest(points, targets.limit(0), 3, 0.5).collect() == []
+
+
+def test_fitted_equals_label_of_correlations(spark):
+    from signaloom.operators import microstates as MS
+
+    rng = np.random.default_rng(1)
+    maps = spark.createDataFrame([(k, [float(x) for x in rng.normal(size=8)]) for k in range(40)] + [(40, [1.0] * 8)], "tf long, v array<double>")
+    templates = spark.createDataFrame([(k, [float(x) for x in rng.normal(size=8)]) for k in range(5)], "k int, t array<double>")
+    a = {r.tf: (r.seg, r.corr and round(r.corr, 9)) for r in MS.fitted(maps, templates, 0.4).collect()}
+    b = {r.tf: (r.seg, r.corr and round(r.corr, 9)) for r in MS.label(MS.correlations(maps, templates), least=0.4).collect()}
+    assert {k: v for k, v in a.items() if k < 40} == {k: v for k, v in b.items() if k < 40} and a[40][0] is None
+
+
+def test_downsampling_keeps_slower_recordings(spark):
+    from signaloom.operators import sessions as SE
+
+    samples = spark.createDataFrame([(r, k, float(k)) for r in (1, 2) for k in range(10)], "rec int, tf long, value double")
+    recs = spark.createDataFrame([(1, 0, 100.0), (2, 1, 20.0)], "rec int, session int, hz double")
+    got = sorted((r.rec, r.tf, r.value, r.hz) for r in SE.to_frequency(samples, recs, 50.0).collect())
+    assert got == [(1, k, 2.0 * k, 50.0) for k in range(5)] + [(2, k, float(k), 20.0) for k in range(10)]
