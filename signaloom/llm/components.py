@@ -1,38 +1,13 @@
-"""Connected components of a graph given as edges, by alternating star contractions; nothing is collected."""
+"""Connected components of a graph given as edges (a, b long); every round is written to the shared folder, and nothing is collected."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from ..operators import graph
 from .common import scratch
 
 
-def _downward(edges: DataFrame) -> DataFrame:
-    return edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-
-def _star(edges: DataFrame) -> DataFrame:
-    """Every neighbour of a node is tied to the node's smallest neighbour instead. The smallest ones are written first: both sides of the join are then plain exchanges, and adaptive execution can split a hub's rows."""
-    least = scratch(edges.groupBy("a").agg(F.min("b").alias("m")), "stars")
-    return edges.join(least, "a")
-
-
 def components(edges: DataFrame) -> DataFrame:
-    """edges (a, b long) -> node, root: the smallest node that each node reaches, for nodes that have an edge.
-
-    Large-star and small-star steps after Kiveris et al. 2014: about log^2 n rounds at worst, few on star-like graphs. Every round is written to the shared folder.
-    """
-    now = scratch(_downward(edges), "edges")
-    mark = None
-    while True:  # every round but the last ties nodes to smaller ones, so there is a last
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _downward(_star(both).filter("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")))
-        starred = _star(large)
-        small = starred.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(starred.select("a", F.col("m").alias("b")))
-        now = scratch(_downward(small), "edges")
-        seen = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
-        if seen == mark:
-            break
-        mark = seen
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+    """edges -> node, root: the smallest node that each node reaches, for nodes that have an edge."""
+    return graph.components(edges, lambda df: scratch(df, "edges"))
