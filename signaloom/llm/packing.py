@@ -175,6 +175,9 @@ def _tokenised(path: str, window: int, keep: bool):
                 if len(pieces) >= 2_000:
                     yield _batch(0, pieces, id_type)
                     pieces = []
+                if len(units) >= 2_000:
+                    yield _batch(1, units, id_type)
+                    units = []
             if pieces:
                 yield _batch(0, pieces, id_type)
             if units:

@@ -9,7 +9,7 @@ import sys
 import numpy as np
 
 #: Pieces whose ids a Python worker keeps; bytes that it cuts into pieces at a time.
-CACHED, SLICE = 1_500_000, 1 << 22
+CACHED, SLICE = 1_000_000, 1 << 21
 _GAP = re.compile(r"\s \s")
 # Bytes that may end or begin white space in UTF-8; texts with a space between two such are looked at more closely.
 _MAY_END, _MAY_BEGIN = np.zeros(256, bool), np.zeros(256, bool)
@@ -128,8 +128,15 @@ class Encoder:
         ends = np.cumsum(count)
         return self.flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - ends + count, count)], count
 
-    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-        """Ids of each text of an Arrow buffer of UTF-8."""
+    def __call__(self, data: np.ndarray, offsets: np.ndarray):
+        """Ids of each text of an Arrow buffer of UTF-8, one after another; texts are taken together up to about SLICE bytes."""
+        at = 0
+        while at < len(offsets) - 1:
+            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, "right")) - 1)
+            yield from self._together(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at])
+            at = end
+
+    def _together(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         n = len(offsets) - 1
         space = np.flatnonzero(data == 32)
         start = np.concatenate([space + 1, offsets[:-1]])
