@@ -11,7 +11,7 @@ squares of their BM25 weights; every window is filled. What a shard cannot fill
 Plan. Tokenising is one pass over the scan, written to the shared folder as 16-bit ids; each pass is a range exchange by (signature, row), which no hot signature can unbalance, and a stream of
 shards: a task holds one shard, however many units share a signature. The work grows in proportion to the input. The driver holds one number per vocabulary entry.
 
-Limits of the method. Neighbours of different shards do not meet: of the best BM25 neighbours over the whole corpus that score at least CLOSE, about four in five share a shard with their seed in one of
+Limits of the method. Neighbours of different shards do not meet: of the best BM25 neighbours over the whole corpus that score at least 0.85 of the seed itself, about four in five share a shard with it in one of
 the passes; of weaker ones, few do. README.md has the figures, and a test holds them against brute force.
 
 Defined results. Null or empty text: the end id alone. Null or repeated ids and repeated rows: rows like others. Empty table: no rows. Other columns, of any name, are ignored.

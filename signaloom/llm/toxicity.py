@@ -2,7 +2,7 @@
 
 A word's vector is the mean of the embeddings of its character n-grams; a window's vector adds up the vectors of consecutive words (a mean, but for a constant), and goes into a linear softmax. There are two
 such bags, by SPANS: single words, and windows of five. A text has its most toxic word and its most toxic window: so a few words count in a text of any length, and a phrase of ordinary words counts as their
-sum. (One bag of the whole text loses a few words among thousands; README.md has the figures.) Embeddings and softmax are trained jointly in numpy. Only texts carry labels, so training alternates: the window of a toxic text that scores highest counts as toxic, the highest windows of clean texts and some others as clean. The share DOUBTED of toxic
+sum. (README.md has the held-out figures, also of the windows alone.) Embeddings and softmax are trained jointly in numpy. Only texts carry labels, so training alternates: the window of a toxic text that scores highest counts as toxic, the highest windows of clean texts and some others as clean. The share DOUBTED of toxic
 texts that score lowest is left out of later epochs, as labels may be wrong. A misspelling that was never seen shares n-gram vectors with the word it stands for. The two highest scores are mapped
 to a probability by a logistic fit on texts that training left out.
 
