@@ -8,8 +8,8 @@ import sys
 
 import numpy as np
 
-#: Pieces whose ids a Python worker keeps; bytes that it cuts into pieces at a time.
-CACHED, SLICE = 1_000_000, 1 << 21
+#: Slots of a worker's table of pieces; ids that it keeps before it begins anew; bytes that it cuts into pieces at a time.
+SLOTS, CACHED, SLICE = 1 << 21, 1 << 22, 1 << 21
 _GAP = re.compile(r"\s \s")
 # Bytes that may end or begin white space in UTF-8; texts with a space between two such are looked at more closely.
 _MAY_END, _MAY_BEGIN = np.zeros(256, bool), np.zeros(256, bool)
@@ -56,8 +56,8 @@ class Encoder:
     """Texts -> ids of 16 bits.
 
     A single space between two other characters always begins a token, so texts are cut there into pieces, each with the space before it. Pieces are told apart by 64-bit hashes, computed for all
-    pieces of a slice at once; the ids of a piece are encoded once and then gathered from a table. Pieces not met before are encoded together and told apart by the tokens that begin with a space. Only
-    where white space follows white space around a space would the cut matter; such texts, and those with the string of an added token, are encoded by themselves.
+    pieces of a slice at once; the ids of a piece are encoded once and then gathered from a table, whose slot a later piece may take. Pieces that are not in the table are encoded together and told apart by the
+    tokens that begin with a space. Only where white space follows white space around a space would the cut matter; such texts, and those with the string of an added token, are encoded by themselves.
     """
 
     def __init__(self, path: str):
@@ -74,7 +74,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.start, self.count, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
+        self.keys, self.start, self.count, self.flat = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32), np.zeros(0, np.uint16)
 
     def whole(self, text: str) -> np.ndarray:
         """Ids of a text by itself."""
@@ -83,23 +83,29 @@ class Encoder:
         parts = [[self.added[t]] if t in self.added else self.plain(t) for t in self.special.split(text)]
         return np.array([k for p in parts for k in p], np.uint16)
 
-    def learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        """Adds pieces (those but the first of a text begin with a space) to the table; keys are sorted and new."""
-        easy = [p[:1] == " " and len(p) > 1 and not p[1].isspace() and not p[-1].isspace() for p in pieces]
-        joined = "".join(p for p, e in zip(pieces, easy) if e)
-        ids = np.array(self.plain(joined), np.uint16)
+    def learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Adds the ids of pieces, which have their space with them, to `flat`: where each piece's ids begin there, and how many they are."""
+        easy = end - start > 1  # a space and then no white space at either end: its first token, and no other, begins with a space
+        at = np.flatnonzero(easy)
+        easy[at] = data[start[at]] == 32
+        at = at[easy[at]]
+        for k in at[_MAY_BEGIN[data[start[at] + 1]] | _MAY_END[data[end[at] - 1]]].tolist():
+            text = data[start[k] : end[k]].tobytes().decode()
+            easy[k] = not text[1].isspace() and not text[-1].isspace()
+        size = (end - start)[easy]
+        ends = np.cumsum(size)
+        joined = data[np.arange(int(size.sum())) + np.repeat(start[easy] - ends + size, size)]
+        ids = np.array(self.plain(joined.tobytes().decode()), np.uint16)
         first = np.flatnonzero(self.opens[ids])
-        if len(first) != sum(easy) or len(first) and first[0]:
-            easy, ids, first = [False] * len(pieces), ids[:0], first[:0]
-        easy = np.array(easy, bool)
-        rest = [np.array(self.plain(p), np.uint16) for p, e in zip(pieces, easy) if not e]
-        start, count, at = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64), len(self.flat)
-        start[easy], count[easy] = at + first, np.diff(np.append(first, len(ids)))
+        if len(first) != len(size) or len(first) and first[0]:
+            easy, ids, first = np.zeros(len(start), bool), ids[:0], first[:0]
+        rest = [np.array(self.plain(data[a:b].tobytes().decode()), np.uint16) for a, b in zip(start[~easy].tolist(), end[~easy].tolist())]
         size = np.array([len(r) for r in rest], np.int64)
-        start[~easy], count[~easy] = at + len(ids) + np.append(0, np.cumsum(size))[:-1], size
+        begin, count, at = np.zeros(len(start), np.int32), np.zeros(len(start), np.int32), len(self.flat)
+        begin[easy], count[easy] = at + first, np.diff(np.append(first, len(ids)))
+        begin[~easy], count[~easy] = at + len(ids) + np.cumsum(size) - size, size
         self.flat = np.concatenate([self.flat, ids, *rest])
-        place = np.searchsorted(self.keys, keys)
-        self.keys, self.start, self.count = (np.insert(x, place, y) for x, y in ((self.keys, keys), (self.start, start), (self.count, count)))
+        return begin, count
 
     def _slice(self, data, start, end, inner) -> tuple[np.ndarray, np.ndarray]:
         """Ids of consecutive pieces, and how many each has."""
@@ -109,22 +115,19 @@ class Encoder:
         key = (total[end - low] - total[start - low]) * _BACK[(start - low) & 4095] * _BACK_FAR[(start - low) >> 12]
         key = key + (2 * (end - start) + inner).astype(np.uint64)
         key = (key ^ key >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-        known, at, back = np.unique(key ^ key >> np.uint64(32), return_index=True, return_inverse=True)
-        place = np.searchsorted(self.keys, known)
-        new = np.append(self.keys, np.uint64(0))[place] != known if len(self.keys) else np.ones(len(known), bool)
-        new |= place == len(self.keys)
-        if new.any():
-            if len(self.keys) + int(new.sum()) > CACHED:
-                self.forget()
-                new = np.ones(len(known), bool)
-            raw = data.tobytes() if len(data) < 2 * SLICE else None
-            a, b = (start - inner)[at[new]], end[at[new]]
-            if raw is None:
-                base = int(a.min())
-                raw, a, b = data[base : int(b.max())].tobytes(), a - base, b - base
-            self.learn(known[new], [raw[i:j].decode() for i, j in zip(a.tolist(), b.tolist())])
-            place = np.searchsorted(self.keys, known)
-        first, count = self.start[place][back], self.count[place][back]
+        key = np.maximum(key ^ key >> np.uint64(32), np.uint64(1))  # 0 is a free slot
+        slot = (key & np.uint64(SLOTS - 1)).astype(np.int64)
+        if len(self.flat) > CACHED:
+            self.forget()
+        first, count = self.start[slot], self.count[slot]
+        new = np.flatnonzero(self.keys[slot] != key)
+        if len(new):
+            known, at, back = np.unique(key[new], return_index=True, return_inverse=True)
+            at = new[at]
+            begin, size = self.learn(data, (start - inner)[at], end[at])
+            first[new], count[new] = begin[back], size[back]
+            at = slot[at]
+            self.keys[at], self.start[at], self.count[at] = known, begin, size
         ends = np.cumsum(count)
         return self.flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - ends + count, count)], count
 
