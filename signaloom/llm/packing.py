@@ -66,23 +66,38 @@ def pair_signature(ids: np.ndarray) -> tuple[int, int]:
     return int(pairs.min() >> np.uint64(1)), int(again.min() >> np.uint64(1))
 
 
-def term_signature(terms: np.ndarray, weights: np.ndarray) -> tuple[int, int]:
-    """Two of the terms, drawn by weighted minhashes: a term is named with a probability in proportion to its squared weight."""
+def draws() -> np.ndarray:
+    """For each term two exponential draws, by its hashes."""
+    term = np.arange(VOCABULARY, dtype=np.uint64)
+    return np.stack([-np.log(mix(term, salt).astype(np.float64) / 2.0**64 + 1e-12) for salt in (1, 2)])
+
+
+def term_signature(terms: np.ndarray, weights: np.ndarray, drawn: np.ndarray | None = None) -> tuple[int, int]:
+    """Two of the terms, drawn by weighted minhashes: a term is named with a probability in proportion to its squared weight. `drawn` is what `draws` gives, where the caller has it."""
     if not len(terms):
         return -1, -1
-    drawn = []
-    for salt in (1, 2):
-        u = mix(terms.astype(np.uint64), salt).astype(np.float64) / 2.0**64 + 1e-12
-        drawn.append(int(terms[np.argmin(-np.log(u) / weights.astype(np.float64) ** 2)]))
-    return drawn[0], drawn[1]
+    drawn = draws() if drawn is None else drawn
+    squared = weights.astype(np.float64) ** 2
+    return tuple(int(terms[np.argmin(d[terms] / squared)]) for d in drawn)
+
+
+def weigh_all(units: list[np.ndarray], idf: np.ndarray, average: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Terms of each unit and their BM25 weights; terms of no weight are left out. One sort serves all units."""
+    size = np.array([len(u) for u in units], np.int64)
+    key = np.sort(np.repeat(np.arange(len(units), dtype=np.uint64) << np.uint64(16), size) | np.concatenate([np.zeros(0, np.uint64), *units]))
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    unit, term = (key[first] >> np.uint64(16)).astype(np.int64), (key[first] & np.uint64(VOCABULARY - 1)).astype(np.int64)
+    tf = np.diff(np.append(first, len(key)))
+    weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[unit] / average))
+    held = weight > 0
+    unit, term, weight = unit[held], term[held], weight[held].astype(np.float32)
+    cuts = np.searchsorted(unit, np.arange(len(units) + 1)).tolist()
+    return [(term[a:b], weight[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 def weigh(ids: np.ndarray, idf: np.ndarray, average: float) -> tuple[np.ndarray, np.ndarray]:
-    """Terms of a unit and their BM25 weights; terms of no weight are left out."""
-    term, tf = np.unique(ids, return_counts=True)
-    weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / average))
-    held = weight > 0
-    return term[held].astype(np.int64), weight[held].astype(np.float32)
+    """Terms of one unit and their BM25 weights."""
+    return weigh_all([np.asarray(ids, np.uint16)], idf, average)[0]
 
 
 class Index:
@@ -94,7 +109,7 @@ class Index:
         weight = np.concatenate([w for _, w in units]) if units else np.zeros(0, np.float32)
         unit = np.repeat(np.arange(len(units)), [len(t) for t in self.terms])
         order = np.argsort(term, kind="stable")
-        self.unit, self.weight = unit[order], weight[order]
+        self.unit, self.weight = unit[order], weight[order].astype(np.float64)
         self.first = np.searchsorted(term[order], np.arange(VOCABULARY + 1))
 
     def scores(self, seed: int) -> np.ndarray:
@@ -194,7 +209,7 @@ def _packed(stage: int, least: float, idf: np.ndarray, average: float, window: i
 
     def shard(units: list[Unit], last: bool):
         """Finished sequences, and what is to go on: with `least` as units, else as the one that is not full."""
-        index = Index([weigh(u.ids, idf, average) for u in units])
+        index = Index(weigh_all([u.ids for u in units], idf, average))
         finished, left = [], []
         for sequence in fill(np.array([len(u.ids) for u in units]), index, window, least):
             if sum(b - a for _, a, b in sequence) == window or last and not least:
@@ -207,7 +222,7 @@ def _packed(stage: int, least: float, idf: np.ndarray, average: float, window: i
     def run(batches):
         from pyspark import TaskContext
 
-        made, held, carried = TaskContext.get().partitionId() << 33, [], []
+        made, held, carried, drawn = TaskContext.get().partitionId() << 33, [], [], draws()
 
         def pack(units, last):
             nonlocal made
@@ -221,7 +236,8 @@ def _packed(stage: int, least: float, idf: np.ndarray, average: float, window: i
                 made += 1
             out = [_batch(0, rows, id_type)] if rows else []
             if least:
-                rows = [(*term_signature(*weigh(u.ids, idf, average)), u.uid, u.ids.tobytes(), *([p[k] for p in u.parts] for k in range(4))) for u in left]
+                named = [term_signature(*w, drawn) for w in weigh_all([u.ids for u in left], idf, average)]
+                rows = [(*name, u.uid, u.ids.tobytes(), *([p[k] for p in u.parts] for k in range(4))) for name, u in zip(named, left)]
                 return out + ([_batch(1, rows, id_type)] if rows else []), []
             return out, left
 
