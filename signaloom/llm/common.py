@@ -47,11 +47,20 @@ def _remove(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Spark 4.1 and later: shuffle files go when the query that made them ends, not when the driver next collects garbage. Earlier versions do not know it and ignore it.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def scratch(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: the lineage is cut and survives lost executors."""
+    """df, written to the shared folder and read again: the lineage is cut and survives lost executors. Its shuffle files are removed once it is written, so those of successive steps do not add up on disk."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before) if before is not None else spark.conf.unset(CLEAN)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -285,9 +285,10 @@ def jaccard_groups(rows: DataFrame, k: int, threshold: str, id_col: str, text_co
     placed = reps.join(whole, "root").withColumn("level", F.explode(F.when(F.col("small"), F.array(F.lit(-1))).otherwise(F.array("band", F.col("band") + 1)))).drop("small")
     strips = placed.groupBy("root", "level").agg(*size).filter("rows > 1")
     strips = strips.select("root", "level", F.when(F.col("level") < 0, 1).otherwise(F.greatest(F.ceil(F.col("cells") / LIMIT), F.ceil(F.col("rows") / ROWS))).cast("int").alias("strips"))
-    placed = placed.join(strips, ["root", "level"]).withColumn("strip", F.pmod(F.xxhash64("rid"), F.col("strips")).cast("int"))
+    placed = scratch(placed.join(strips, ["root", "level"]).withColumn("strip", F.pmod(F.xxhash64("rid"), F.col("strips")).cast("int")), "ngram-placed")
+    asked = texts.select("rid", "text").join(few(placed.select("rid").distinct()), "rid", "left_semi")  # only texts that meet another one are shuffled
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("strips") - 1))).withColumn("s1", F.least("strip", "other")).withColumn("s2", F.greatest("strip", "other"))
-    tasks = placed.select("rid", "copies", "root", "level", "strip", "s1", "s2").hint("merge").join(texts.select("rid", "text"), "rid")
+    tasks = placed.select("rid", "copies", "root", "level", "strip", "s1", "s2").hint("merge").join(asked, "rid")
     links = scratch(tasks.groupBy("root", "level", "s1", "s2").applyInArrow(_product(k, num, den), "a long, b long, links long"), "ngram-links")
 
     roots = components(links.select("a", "b"))

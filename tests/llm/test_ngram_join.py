@@ -1,10 +1,12 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 
 from signaloom.llm import ngram_join
+from signaloom.llm.common import CLEAN, scratch
 from signaloom.llm.shingles import shingle_sets
 
 SPACE = r"[^\x20\x09-\x0D]+"
@@ -113,3 +115,18 @@ def test_levels_lose_no_pair():
                     for share in (0, 0.2, 0.6, 1):
                         often = np.sort(r.choice(np.concatenate([a, b]), int(share * n), replace=False))
                         assert np.isin(ngram_join.keys_of(np.sort(a), levels, often), ngram_join.keys_of(np.sort(b), levels, often)).any()
+
+
+def test_steps_leave_no_shuffle_files(spark):
+    def files():
+        held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {f for f in held.split("\n") if "/shuffle_" in f and f.endswith(".data")}
+
+    before, setting = files(), spark.conf.get(CLEAN, None)
+    written = scratch(spark.range(20_000).repartition(5, "id"), "no-shuffle")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(CLEAN, None) == setting
+    assert written.count() == 20_000
