@@ -86,12 +86,40 @@ def as_table(spark, matrices: list[np.ndarray]) -> DataFrame:
 
 
 def best_level(maps: DataFrame, inverse: DataFrame, lead: DataFrame, keys=("tf",)) -> DataFrame:
-    """keys, reg: the level of least generalised cross-validation-like residual (residual power over squared rest of freedom, here residual plus solution norm)."""
-    ris = maps.join(inverse, "e").groupBy(*keys, "reg", "sp", "axis").agg(F.sum(F.col("x") * F.col("w")).alias("v"))
-    back = ris.join(lead, ["sp", "axis"]).groupBy(*keys, "reg", "e").agg(F.sum(F.col("v") * F.col("l")).alias("y"))
-    rest = back.join(maps, [*keys, "e"]).groupBy(*keys, "reg").agg(F.sum(F.pow(F.col("x") - F.col("y"), 2)).alias("residual"))
-    size = ris.groupBy(*keys, "reg").agg(F.sum(F.col("v") * F.col("v")).alias("power"))
-    return rest.join(size, [*keys, "reg"]).groupBy(*keys).agg(F.min_by("reg", F.struct(F.round(F.log(F.col("residual") + 1e-12) + F.log(F.col("power") + 1e-12), 9), "reg")).alias("reg"))
+    """keys, reg: the level of least generalised cross-validation-like residual (residual power over squared rest of freedom, here residual plus solution norm). Maps as arrays `v`; the smaller level on a tie.
+
+    A level's inverse W and the lead field L enter by the matrices L W and W' W alone, of electrodes squared, whatever the number of solution points: Spark sums them, and every map is finished in its own row,
+    without a shuffle. Missing values and electrodes without weights add nothing; a map with no electrode of the lead field has no level.
+    """
+    other = inverse.select("reg", "sp", "axis", F.col("e").alias("f"), F.col("w").alias("u"))
+    gram = inverse.join(other, ["reg", "sp", "axis"]).groupBy("reg", "e", "f").agg(F.sum(F.col("w") * F.col("u")).alias("c")).collect()  # levels times electrodes squared
+    back = inverse.join(lead.withColumnRenamed("e", "f"), ["sp", "axis"]).groupBy("reg", "e", "f").agg(F.sum(F.col("w") * F.col("l")).alias("c")).collect()
+    regs, n = sorted({r["reg"] for r in gram}), 1 + max((max(r["e"], r["f"]) for r in gram + back), default=-1)
+    power, field = np.zeros((len(regs), n, n)), np.zeros((len(regs), n, n))
+    for r in gram:
+        power[regs.index(r["reg"]), r["e"], r["f"]] = r["c"]
+    for r in back:
+        field[regs.index(r["reg"]), r["e"], r["f"]] = r["c"]
+    known, seen = np.zeros(n, bool), np.zeros(n, bool)
+    known[[r["e"] for r in gram]], seen[[r["f"] for r in back]] = True, True
+    kinds = dict(maps.dtypes)
+
+    def run(batches):
+        for b in batches:
+            b = b[[v is not None and known[: len(v)].any() and seen[: len(v)].any() for v in b.v]]
+            if not len(b):
+                continue
+            x = np.full((len(b), n), np.nan)
+            for row, v in zip(x, b.v):
+                row[: len(v)] = np.asarray(v, float)[:n]
+            x[:, ~known & ~seen] = np.nan
+            cost, held = [], np.nan_to_num(x)
+            for g, f in zip(power, field):
+                rest = np.where(np.isnan(x) | ~seen, 0, x - held @ f)
+                cost.append(np.round(np.log((rest**2).sum(1) + 1e-12) + np.log(np.maximum(((held @ g) * held).sum(1), 0) + 1e-12), 9))
+            yield b[list(keys)].assign(reg=np.array(regs)[np.argmin(cost, axis=0)])
+
+    return maps.select(*keys, "v").mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", reg {dict(inverse.dtypes)['reg']}")
 
 
 def to_volume(ris: DataFrame, places: DataFrame, power: float = 2.0) -> DataFrame:

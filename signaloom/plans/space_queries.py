@@ -111,8 +111,7 @@ def _regularised(s, d):
     e, p = _head()
     lead = SS.lead_field(e, p[:4])
     field = s.createDataFrame([(a // 3, a % 3, k, float(lead[k, a])) for k in range(64) for a in range(12)], "sp int, axis int, e int, l double")
-    maps = V.maps_long(s, d).select("tf", "e", "x")
-    return SS.best_level(maps, SS.as_table(s, SS.inverse_matrices(lead, "mn")), field)
+    return SS.best_level(V.maps(s, d), SS.as_table(s, SS.inverse_matrices(lead, "mn")), field)
 
 
 register("ris_best_regularization", _regularised)

@@ -230,3 +230,23 @@ def test_downsampling_keeps_slower_recordings(spark):
     recs = spark.createDataFrame([(1, 0, 100.0), (2, 1, 20.0)], "rec int, session int, hz double")
     got = sorted((r.rec, r.tf, r.value, r.hz) for r in SE.to_frequency(samples, recs, 50.0).collect())
     assert got == [(1, k, 2.0 * k, 50.0) for k in range(5)] + [(2, k, float(k), 20.0) for k in range(10)]
+
+
+def test_best_level_needs_no_shuffle_of_maps(spark):
+    from signaloom.operators import source_space as SS
+
+    rng = np.random.default_rng(4)
+    lead = rng.normal(size=(10, 6))
+    levels = SS.inverse_matrices(lead, "mn")
+    field = spark.createDataFrame([(a // 3, a % 3, e, float(lead[e, a])) for e in range(10) for a in range(6)], "sp int, axis int, e int, l double")
+    inside, x = lead @ rng.normal(size=(6, 20)), rng.normal(size=(10, 20))
+    maps = [*inside.T * 0.001, *x.T, *(inside + 0.1 * x).T, np.zeros(10), x[:7, 0]]
+    df = spark.createDataFrame([(i, [float(v) for v in m]) for i, m in enumerate(maps)] + [(90, None), (91, [])], "tf long, v array<double>")
+    best = SS.best_level(df, SS.as_table(spark, levels), field)
+    expected = {}
+    for i, m in enumerate(maps):
+        v = [w[:, : len(m)] @ m for w in levels]
+        rest = [((m - (lead @ r)[: len(m)]) ** 2).sum() for r in v]
+        expected[i] = int(np.argmin([round(np.log(a + 1e-12) + np.log((r**2).sum() + 1e-12), 9) for a, r in zip(rest, v)]))
+    assert {r.tf: r.reg for r in best.collect()} == expected and len(set(expected.values())) > 1
+    assert "Exchange" not in best._jdf.queryExecution().executedPlan().toString()
