@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from .graph import written
 
 XYZ = ["x", "y", "z"]
+#: Targets that are broadcast, with the 27 cubes around each.
+FEW = 1_000
 
 
 def transform(df: DataFrame, m) -> DataFrame:
@@ -34,29 +36,33 @@ def bounding_box(df: DataFrame, by="set_id") -> DataFrame:
 def nearest(points: DataFrame, targets: DataFrame, k: int, cell: float) -> DataFrame:
     """idx, near, d: the k nearest targets (all, where there are fewer), the smaller number on a tie. Space is dealt into cubes of size `cell`, so points meet only the 27 cubes around them: an equi-join.
 
-    Points that find fewer than k targets within `cell` ask again with twice the size, until every point has its own; each round is written. Points with a missing coordinate have none.
+    Points that find fewer than k targets within `cell` ask again with twice the size, until every point has its own; each round is written. Points with a missing coordinate have none. Up to FEW targets, whose
+    number is checked, travel to the points; nothing that grows with the points is broadcast.
     """
-    k = min(k, targets.limit(k).count())
     left = points.filter(" and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < double('Infinity')" for c in XYZ))
-    targets = targets.filter(" and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < double('Infinity')" for c in XYZ))
-    k, out = min(k, targets.limit(k).count()), None
+    targets = written(targets.filter(" and ".join(f"{c} is not null and not isnan({c}) and abs({c}) < double('Infinity')" for c in XYZ)))
+    held, out = targets.limit(max(k, FEW + 1)).count(), None
+    k = min(k, held)
     while k:
-        found = written(_within(left, targets, k, cell))
+        found = written(_within(left, targets, k, cell, held <= FEW))
         out = found if out is None else out.unionByName(found)
-        left = left.join(found.select("idx").distinct(), "idx", "left_anti")
+        done = found.select(F.col("idx").alias("done")).distinct()
+        left = left.hint("merge").join(done, F.col("idx").eqNullSafe(F.col("done")), "left_anti")
         if left.isEmpty():
             return out
         left, cell = written(left), 2 * cell
-    return _within(left, targets, 1, cell).limit(0)
+    return _within(left, targets, 1, cell, True).limit(0)
 
 
-def _within(points: DataFrame, targets: DataFrame, k: int, cell: float) -> DataFrame:
-    """The k nearest targets of the points that have as many within `cell`."""
+def _within(points: DataFrame, targets: DataFrame, k: int, cell: float, few: bool) -> DataFrame:
+    """The k nearest targets of the points that have as many within `cell`. Few targets name the 27 cubes around them and are broadcast; else the points do, and both sides are shuffled."""
     at = [F.floor(F.col(c) / cell).alias(f"c{c}") for c in XYZ]
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(m).alias("m")) for i in (-1, 0, 1) for j in (-1, 0, 1) for m in (-1, 0, 1)])
-    p = points.select("idx", F.struct(*XYZ).alias("p"), *at).withColumn("o", F.explode(around)).select("idx", "p", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"), (F.col("cz") + F.col("o.m")).alias("cz"))
-    t = targets.select(F.col("idx").alias("near"), F.struct(*XYZ).alias("t"), *at)
-    pairs = p.join(t, ["cx", "cy", "cz"]).select("idx", "near", distance("p", "t").alias("d")).filter(F.col("d") <= cell)
+    spread = lambda df, *cols: df.withColumn("o", F.explode(around)).select(*cols, *[(F.col(f"c{c}") + F.col(f"o.{i}")).alias(f"c{c}") for c, i in zip(XYZ, "ijm")])
+    p, t = points.select("idx", F.struct(*XYZ).alias("p"), *at), targets.select(F.col("idx").alias("near"), F.struct(*XYZ).alias("t"), *at)
+    cubes = [f"c{c}" for c in XYZ]
+    met = p.join(F.broadcast(spread(t, "near", "t")), cubes) if few else spread(p, "idx", "p").hint("merge").join(t, cubes)
+    pairs = met.select("idx", "near", distance("p", "t").alias("d")).filter(F.col("d") <= cell)
     ranked = pairs.withColumn("r", F.row_number().over(W.partitionBy("idx").orderBy(F.round("d", 9), "near"))).filter(F.col("r") <= k)
     return ranked.withColumn("n", F.max("r").over(W.partitionBy("idx"))).filter(F.col("n") == k).drop("r", "n")
 

@@ -250,3 +250,17 @@ def test_best_level_needs_no_shuffle_of_maps(spark):
         expected[i] = int(np.argmin([round(np.log(a + 1e-12) + np.log((r**2).sum() + 1e-12), 9) for a, r in zip(rest, v)]))
     assert {r.tf: r.reg for r in best.collect()} == expected and len(set(expected.values())) > 1
     assert "Exchange" not in best._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nearest_broadcasts_nothing_that_grows_with_the_points(spark, monkeypatch):
+    from signaloom.operators import geometry as G
+
+    plans, write = [], G.written
+    monkeypatch.setattr(G, "written", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    points = spark.range(400).selectExpr("cast(id as int) as idx", "cast(id as double) as x", "0D as y", "0D as z")
+    targets = spark.createDataFrame([(k, float(k), 0.0, 0.0) for k in range(5)], "idx int, x double, y double, z double")
+    assert G.nearest(points, targets, 2, 100.0).count() == 800
+    assert any("LeftAnti" in p for p in plans) and not any("LeftAnti" in p and "Broadcast" in p for p in plans)
+    monkeypatch.setattr(G, "FEW", 1)
+    del plans[:]
+    assert G.nearest(points, targets, 2, 400.0).count() == 800 and not any("Broadcast" in p for p in plans)
