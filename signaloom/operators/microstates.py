@@ -183,36 +183,137 @@ def cluster_taahc(maps: DataFrame, least: int, most: int, group: str = "label")
     return maps.select(group, "tf", "v").groupBy(group).applyInPandas(run, f"{group} {kind}, k int, tf long, seg int")
 
 
+#: Distances of pairs that a task holds at once.
+PAIRS = 1 << 22
+
+
+def _pair_distances(u: np.ndarray):
+    """Every pair of rows once, in pieces of at most PAIRS / 8 or a row: distances, first and second row."""
+    step = max(1, PAIRS // 8 // max(1, len(u)))
+    for at in range(0, len(u), step):
+        d = 1 - np.abs(np.clip(u[at : at + step] @ u[at:].T, -1, 1))
+        i, j = np.triu_indices(len(d), 1, d.shape[1])
+        yield d[i, j], i + at, j + at
+
+
+def _ranges(u: np.ndarray) -> list[tuple[float, float]]:
+    """Ranges [low, high) that cover all distances, each of at most PAIRS pairs, but for a single value that more pairs share."""
+    if len(u) * (len(u) - 1) // 2 <= PAIRS:
+        return [(-np.inf, np.inf)]
+    out, todo = [], [(0.0, np.nextafter(1.0, 2.0))]
+    while todo:
+        low, high = todo.pop()
+        edges = np.unique(np.append(np.linspace(low, high, 4097)[:-1], high))
+        n = np.zeros(len(edges) - 1, np.int64)
+        for d, _, _ in _pair_distances(u):
+            d = d[(d >= low) & (d < high)]
+            n += np.bincount(np.searchsorted(edges, d, "right") - 1, minlength=len(n))[: len(n)]
+        begin, held = 0, 0
+        for k, x in enumerate([*n, PAIRS + 1]):
+            if held and held + x > PAIRS:
+                out.append((edges[begin], edges[k]))
+                begin, held = k, 0
+            if k < len(n) and x > PAIRS and np.nextafter(edges[k], 2) < edges[k + 1]:
+                todo.append((edges[k], edges[k + 1]))
+                begin, held = k + 1, 0
+            else:
+                held += x
+                begin = k if not held else begin
+    return sorted(out)
+
+
+def _pair_criteria(u: np.ndarray, labels: list[np.ndarray]) -> list[tuple[float, float, float]]:
+    """Gamma, point-biserial and robust Dunn of several labellings of the same maps, over all pairs, exactly: ranges of distances are sorted one after the other, so memory does not grow with the pairs."""
+    total, tops = len(u) * (len(u) - 1) // 2, []
+    count, sums = np.zeros((len(labels), 2), np.int64), np.zeros((len(labels), 2))
+    mean = square = 0.0
+    for d, i, j in _pair_distances(u):
+        mean += d.sum() / max(1, total)
+        for k, lab in enumerate(labels):
+            same = lab[i] == lab[j]
+            count[k] += (~same).sum(), same.sum()
+            sums[k] += d[~same].sum(), d[same].sum()
+    for d, _, _ in _pair_distances(u):
+        square += ((d - mean) ** 2).sum() / max(1, total)
+    # The order statistics next to a percentile, as numpy interpolates them: the 5th of pairs across clusters, the 95th of pairs inside one.
+    at = [[(n - 1) * q for n, q in zip(c, (0.05, 0.95))] for c in count]
+    held = [[{}, {}] for _ in labels]
+    plus, minus, done = np.zeros(len(labels)), np.zeros(len(labels)), np.zeros((len(labels), 2), np.int64)
+    for low, high in _ranges(u):
+        parts = [[], [], []]
+        for d, i, j in _pair_distances(u):
+            near = (d >= low) & (d < high)
+            for part, x in zip(parts, (d, i, j)):
+                part.append(x[near].astype(np.float64 if x is d else np.int32))
+        d, i, j = map(np.concatenate, parts)
+        order = np.argsort(d)
+        d, i, j = d[order], i[order], j[order]
+        for k, lab in enumerate(labels):
+            same = lab[i] == lab[j]
+            outer, inner = d[~same], d[same]
+            below = done[k, 0] + np.searchsorted(outer, inner, "left")
+            above = count[k, 0] - done[k, 0] - np.searchsorted(outer, inner, "right")
+            minus[k] += below.sum()
+            plus[k] += above.sum()
+            for side, x in enumerate((outer, inner)):
+                for rank in {int(np.floor(at[k][side])), int(np.ceil(at[k][side]))}:
+                    if 0 <= rank - done[k, side] < len(x):
+                        held[k][side][rank] = x[rank - done[k, side]]
+                done[k, side] += len(x)
+    out = []
+    for k in range(len(labels)):
+        if not count[k].all():
+            out.append((np.nan, np.nan, np.nan))
+            continue
+        fifth, last = (np.interp(p % 1, (0, 1), [held[k][s].get(int(r), np.nan) for r in (np.floor(p), np.ceil(p))]) for s, p in enumerate(at[k]))  # none among distances that are no numbers
+        share, (across, inside) = count[k, 1] / total, sums[k] / count[k]
+        out.append((float((plus[k] - minus[k]) / max(1, plus[k] + minus[k])), float((across - inside) * np.sqrt(share * (1 - share)) / max(np.sqrt(square), 1e-12)), float(fifth / max(last, 1e-12))))
+    return out
+
+
+def _mean_distances(u: np.ndarray, labels: list[np.ndarray]) -> list[np.ndarray]:
+    """For each labelling: summed distances of every map to every cluster (clusters in the order of np.unique)."""
+    ones = [(lab[:, None] == np.unique(lab)[None, :]).astype(float) for lab in labels]
+    out, step = [[] for _ in labels], max(1, PAIRS // 8 // max(1, len(u)))
+    for at in range(0, len(u), step):
+        d = 1 - np.abs(np.clip(u[at : at + step] @ u.T, -1, 1))
+        for found, one in zip(out, ones):
+            found.append(d @ one)
+    return [np.concatenate(found) for found in out]
+
+
 def criteria(maps: DataFrame, clusters: DataFrame, group: str = "label") -> DataFrame:
-    """group, k: gamma, silhouettes, davies_bouldin, point_biserial, dunn_robust, krzanowski_lai, mean (their median) and meta (mean of min-max scaled criteria). Distance: 1 - |correlation|."""
+    """group, k: gamma, silhouettes, davies_bouldin, point_biserial, dunn_robust, krzanowski_lai, mean (their median) and meta (mean of min-max scaled criteria). Distance: 1 - |correlation|.
+
+    All pairs of a group's maps count. A task holds the group's maps and PAIRS distances at a time; its time grows with the square of the group, and with one more pass over the pairs for every PAIRS of them.
+    """
     kind = dict(maps.dtypes)[group]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, spread = [], {}
+        rows, spread, same_maps = [], {}, {}
         for k, p in pdf.groupby("k"):
-            u, lab = _unit(np.stack(p.v.to_numpy())), p.seg.to_numpy()
-            d = 1 - np.abs(np.clip(u @ u.T, -1, 1))
-            same, i, j = lab[:, None] == lab[None, :], *np.triu_indices(len(u), 1)
-            dij, inside = d[i, j], same[i, j]
-            ids = np.unique(lab)
-            within = sum(d[np.ix_(lab == c, lab == c)].sum() / (2 * max(1, (lab == c).sum())) for c in ids)
-            spread[k] = within
-            if len(ids) < 2 or not inside.any():
-                rows.append((k, *[np.nan] * 5))
-                continue
-            a = np.array([(d[n][(lab == lab[n])].sum()) / max(1, (lab == lab[n]).sum() - 1) for n in range(len(u))])
-            b = np.array([min(d[n][lab == c].mean() for c in ids if c != lab[n]) for n in range(len(u))])
-            silhouette = float(((b - a) / np.maximum(np.maximum(a, b), 1e-12)).mean())
-            centre = {c: _centre(u[lab == c], False) for c in ids}
-            s = {c: (1 - np.abs(u[lab == c] @ centre[c])).mean() for c in ids}
-            db = float(np.mean([max((s[c] + s[e]) / max(1e-12, 1 - abs(centre[c] @ centre[e])) for e in ids if e != c) for c in ids]))
-            pb = float((dij[~inside].mean() - dij[inside].mean()) * np.sqrt(inside.mean() * (1 - inside.mean())) / max(dij.std(), 1e-12))
-            dunn = float(np.percentile(dij[~inside], 5) / max(np.percentile(dij[inside], 95), 1e-12))
-            order = np.searchsorted(np.sort(dij[~inside]), dij[inside], "left")
-            plus = (len(dij[~inside]) - np.searchsorted(np.sort(dij[~inside]), dij[inside], "right")).sum()
-            rows.append((k, float((plus - order.sum()) / max(1, plus + order.sum())), silhouette, db, pb, dunn))
+            p = p.sort_values("tf", kind="stable")
+            same_maps.setdefault(p.tf.to_numpy().tobytes(), []).append((k, p))
+        for members in same_maps.values():
+            u, labels = _unit(np.stack(members[0][1].v.to_numpy())), [p.seg.to_numpy() for _, p in members]
+            n = u.shape[1]
+            for (k, _), lab, sums, (gamma, pb, dunn) in zip(members, labels, _mean_distances(u, labels), _pair_criteria(u, labels)):
+                ids, own, size = *np.unique(lab, return_inverse=True), np.bincount(np.unique(lab, return_inverse=True)[1])
+                mine = sums[np.arange(len(u)), own]
+                spread[k] = sum(mine[own == c].sum() / (2 * size[c]) for c in range(len(ids)))
+                if len(ids) < 2 or size.max() < 2:
+                    rows.append((k, *[np.nan] * 5))
+                    continue
+                a = mine / np.maximum(1, size[own] - 1)
+                other = sums / size
+                other[np.arange(len(u)), own] = np.inf
+                b = other.min(1)
+                silhouette = float(((b - a) / np.maximum(np.maximum(a, b), 1e-12)).mean())
+                centre = {c: _centre(u[own == c], False) for c in range(len(ids))}
+                s = {c: (1 - np.abs(u[own == c] @ centre[c])).mean() for c in centre}
+                db = float(np.mean([max((s[c] + s[e]) / max(1e-12, 1 - abs(centre[c] @ centre[e])) for e in centre if e != c) for c in centre]))
+                rows.append((k, gamma, silhouette, db, pb, dunn))
         out = pd.DataFrame(rows, columns=["k", "gamma", "silhouettes", "davies_bouldin", "point_biserial", "dunn_robust"]).sort_values("k")
-        n = u.shape[1]
         diff = {k: (k - 1) ** (2 / n) * spread[k - 1] - k ** (2 / n) * spread[k] for k in spread if k - 1 in spread}
         out["krzanowski_lai"] = [abs(diff[k] / diff[k + 1]) if k in diff and k + 1 in diff and diff[k + 1] else np.nan for k in out.k]
         six = out.iloc[:, 1:7].copy()

@@ -264,3 +264,22 @@ def test_nearest_broadcasts_nothing_that_grows_with_the_points(spark, monkeypatc
     monkeypatch.setattr(G, "FEW", 1)
     del plans[:]
     assert G.nearest(points, targets, 2, 400.0).count() == 800 and not any("Broadcast" in p for p in plans)
+
+
+def test_criteria_do_not_depend_on_how_many_pairs_are_held(spark, monkeypatch):
+    from signaloom.operators import microstates as MS
+
+    rng = np.random.default_rng(2)
+    u = MS._unit(np.vstack([rng.normal(size=(90, 6)), np.repeat(rng.normal(size=(1, 6)), 20, 0)]))
+    labels = [rng.integers(0, k, len(u)) for k in (1, 2, 4)]
+    i, j = np.triu_indices(len(u), 1)
+    d = (1 - np.abs(np.clip(u @ u.T, -1, 1)))[i, j]
+    monkeypatch.setattr(MS, "PAIRS", 300)
+    found = MS._pair_criteria(u, labels)
+    assert max(len(x) for x, _, _ in MS._pair_distances(u)) <= 300 and len(MS._ranges(u)) > 10
+    assert np.isnan(found[0]).all()
+    for lab, got in zip(labels[1:], found[1:]):
+        inside = lab[i] == lab[j]
+        less, more = (sum(int(f(d[~inside], x).sum()) for x in d[inside]) for f in (np.less, np.greater))
+        pb = (d[~inside].mean() - d[inside].mean()) * np.sqrt(inside.mean() * (1 - inside.mean())) / d.std()
+        assert got == pytest.approx(((more - less) / (more + less), pb, np.percentile(d[~inside], 5) / np.percentile(d[inside], 95)), rel=1e-6)
