@@ -282,3 +282,7 @@ def test_margins_and_decoding_equal_brute_force():
         p = np.sort(p / p.sum())
         assert loss[b] == pytest.approx(min(loss)) and s == pytest.approx(p[-1], abs=1e-5) and c == (p[-1] - p[-2] < language.CLOSE)
     assert [model.languages[k] for k in best[:3]] == ["x", "y", "z"]
+
+
+def test_licences_without_an_anchor_word_are_found(spark):
+    assert scanned(spark, [(1, "This project is released under CC0."), (2, "Available under the terms of the GPLv3.\nMore text."), (3, "Plain prose."), (4, None)]) == [(1, "CC0-1.0", 1), (2, "GPL-3.0-only", 1), (3, "", 0), (4, "", 0)]
